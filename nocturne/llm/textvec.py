@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -108,14 +109,22 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, start, end, np.searchsorted(start, offsets))
 
 
-def word_hashes(w: Words, lower: bool = False) -> np.ndarray:
-    """A uint64 for each word, equal for equal bytes."""
-    data = LOWER[w.data] if lower else w.data
+def span_hashes(data: np.ndarray):
+    """A function of (starts, ends) that gives a uint64 for each byte span, equal for equal bytes."""
     up, down = powers(_BYTE_BASE, len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
-    length = (w.end - w.start).astype(np.uint64)
-    return mix((total[w.end] - total[w.start]) * down[w.start] + length * _U(0x2545F4914F6CDD1D))
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = (end - start).astype(np.uint64)
+        return mix((total[end] - total[start]) * down[start] + length * _U(0x2545F4914F6CDD1D))
+
+    return of
+
+
+def word_hashes(w: Words, lower: bool = False) -> np.ndarray:
+    """A uint64 for each word, equal for equal bytes."""
+    return span_hashes(LOWER[w.data] if lower else w.data)(w.start, w.end)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -138,3 +147,47 @@ def window_ok(first: np.ndarray, n_words: int, size: int) -> np.ndarray:
         at = at[(at >= 0) & (at < n)]
         ok[at] = False
     return ok
+
+
+def joined(w: Words, keep: np.ndarray | None = None, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The (kept) words of each row with one space between them.
+
+    Returns (bytes, row offsets, starts, ends), the spans being those of the kept words.
+    """
+    start, end, rows = w.start, w.end, w.rows()
+    if keep is not None:
+        start, end, rows = start[keep], end[keep], rows[keep]
+    n = len(w.data)
+    step = np.zeros(n + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    mask = np.cumsum(step[:n], dtype=np.int8).astype(bool)
+    later = np.zeros(len(start), bool)
+    later[1:] = rows[1:] == rows[:-1]
+    data = LOWER[w.data] if lower else w.data.copy()
+    gaps = start[later] - 1
+    data[gaps] = 0x20
+    mask[gaps] = True
+    place = np.zeros(n + 1, np.int64)
+    np.cumsum(mask, out=place[1:])
+    first = np.searchsorted(rows, np.arange(len(w.first)))
+    begin, stop = place[start], place[end]
+    size = len(stop)
+    offsets = np.zeros(len(w.first), np.int64)
+    if size:
+        offsets = np.where(first > 0, stop[np.maximum(first, 1) - 1], 0)
+    return data[mask], offsets, begin, stop
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+    """Slices of a batch with about ``most`` bytes of text each; a longer row is a slice of its own."""
+    if not batch.num_rows:
+        return
+    text = batch.column(column)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
