@@ -28,7 +28,9 @@ BLOCK = 4096
 
 def _named(keys: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows of ``keys`` with an integer name that follows their sort order."""
-    ordered = keys.select(*columns).distinct().orderBy(*columns)
+    keys = keys.select(*columns).distinct()
+    first = F.substring(keys[columns[0]].cast("string"), 1, 32) if columns == ["block"] else F.col(columns[0])
+    ordered = keys.repartitionByRange(first).sortWithinPartitions(*columns)  # the driver samples the short key only
     return materialize(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
 
 

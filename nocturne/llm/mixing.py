@@ -28,7 +28,7 @@ from nocturne.llm.common import count_words, discard, materialize
 
 GOLDEN = 0.6180339887498949
 BLOCK = 256
-CHUNK = 50_000
+CHUNK = 4_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:

@@ -2,6 +2,49 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), r AS (
+  SELECT t.*, p.perspective, speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
+      ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), s AS (
+  SELECT *, length(text) + 10 AS body,
+    coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin_
+  FROM r
+)
+SELECT conv_id, perspective, count(*) AS n_turns,
+  string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, speaker, text) AS text,
+  coalesce(string_agg(CAST(CAST(begin_ AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_ + body AS BIGINT) AS VARCHAR), ';' ORDER BY begin_)
+    FILTER (WHERE own), '') AS mask,
+  CAST(coalesce(sum(body) FILTER (WHERE own), 0) AS BIGINT) AS masked_chars
+FROM s GROUP BY conv_id, perspective
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+), win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS k FROM starts
+), least_ AS (
+  SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT win.doc_id, win.i + o AS i FROM win JOIN least_ USING (k), range(0, 50) r(o) WHERE win.doc_id > m
+), lost AS (
+  SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
 OP8 = r"""
 WITH n AS (
   SELECT doc_id, coalesce(length(text), 0) AS points,
@@ -16,4 +59,4 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
 """
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8}
+ORACLES: dict[str, str] = {"op2_chat": OP2, "op4_substring": OP4, "op8_exact_dedup": OP8}
