@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from nocturne.plans import arrays, cohort, models, relations, scalars, streams, timeline  # noqa: F401
