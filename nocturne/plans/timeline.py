@@ -287,7 +287,7 @@ def above_average(spark, sf):
 @query(
     "night_parts",
     f"""WITH {EV} SELECT event_id, CAST(least(greatest(floor(t * 3 / 2592000e0) + 1, 1), 3) AS INTEGER) AS third,
-  CAST(least(greatest(floor(t * 4 / 2592000e0) + 1, 1), 6) AS INTEGER) AS quarter,
+  CAST(least(greatest(floor(t * 4 / 2592000e0) + 1, 1), 4) AS INTEGER) AS quarter,
   round(greatest(0e0, t - min(CASE WHEN stage <> 'W' THEN t END) OVER (PARTITION BY pid)), 6) AS since_onset,
   round(least(1e0, greatest(0e0, t / 2592000e0)), 9) AS norm_time FROM ev""",
 )
@@ -298,7 +298,7 @@ def night_parts(spark, sf):
     return rows.select(
         "event_id",
         W.night_part("t", "total", 3).alias("third"),
-        W.night_part("t", "total", 6).alias("quarter"),
+        W.night_part("t", "total", 4).alias("quarter"),
         F.round(since, 6).alias("since_onset"),
         F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("t") / F.col("total"))), 9).alias("norm_time"),
     )
