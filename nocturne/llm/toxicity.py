@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.llm.common import materialize
@@ -130,8 +130,8 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 4
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, n_features: int = FEATURES) -> Model:
     spark = docs.sparkSession
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "toxic")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = marks.where("toxic = 1").orderBy(*order).limit(sample).unionByName(marks.where("toxic = 0").orderBy(*order).limit(sample))
     taken = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
     totals = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
