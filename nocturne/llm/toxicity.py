@@ -3,8 +3,8 @@
 P(grade > k) = sigmoid(w . x - t_k): one weight vector for all grades, and thresholds
 t_0 <= t_1 <= ... between them.  x has a 1 for each selected feature that a text holds.
 Features are words, lower-cased in A-Z and without punctuation at their ends, and their
-first 4, 5 and 6 bytes, each a 64-bit hash; those with the largest difference in document
-frequency between grades, in standard errors, are selected.  The result is the expected
+first 4, 5 and 6 bytes, each a 64-bit hash; those whose document frequencies differ most
+between toxic and clean texts, and by LEAST_Z standard errors or more, are selected.  The result is the expected
 severity, the sum of P(grade > k) over k.
 
 The labels are 0 and 1.  Severity grades follow from them: a document labelled clean has
@@ -35,8 +35,10 @@ from nocturne.llm.common import materialize
 from nocturne.llm.textvec import LOWER, buffer_of, pieces, span_hashes, words_of
 
 SAMPLE = 3000
-FEATURES = 2048
+FEATURES = 512
 LEAST_DOCS = 3
+LEAST_Z = 4.0
+CUT = 0.2
 PREFIXES = (4, 5, 6)
 GRADES = (2, 5)
 
@@ -107,7 +109,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 4
     for step in range(1, rounds + 1):
         w, gaps = state[:m], np.exp(state[m + 1 :])
         t = np.cumsum(np.concatenate(([state[m]], gaps)))
-        s = x @ w
+        s = (x @ w.astype(x.dtype)).astype(float)  # the matrix keeps its type
         edge = np.concatenate((np.full((n, 1), -np.inf), t[None, :] - s[:, None], np.full((n, 1), np.inf)), axis=1)
         cdf = 1 / (1 + np.exp(-np.clip(edge, -40, 40)))
         pdf = cdf * (1 - cdf)
@@ -121,7 +123,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 4
         for k in range(n_grades - 1):
             slope_t[k] = (-high[grade == k].sum() + low[grade == k + 1].sum()) / n
         tail = np.cumsum(slope_t[::-1])[::-1]
-        grad = np.concatenate((x.T @ slope_s + l2 * w, [tail[0]], tail[1:] * gaps))
+        grad = np.concatenate((slope_s.astype(x.dtype) @ x + l2 * w, [tail[0]], tail[1:] * gaps))
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         state = state - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return state[:m], np.cumsum(np.concatenate(([state[m]], np.exp(state[m + 1 :]))))
@@ -151,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     pa_, pb = F.col("a") / totals[1], F.col("b") / totals[0]
     mean = (F.col("a") + F.col("b")) / (totals[0] + totals[1])
     z = (pa_ - pb) / F.sqrt(mean * (1 - mean) * (1 / totals[1] + 1 / totals[0]) + 1e-9)
-    best = counts.where((F.col("a") + F.col("b")) >= LEAST_DOCS).select("key", z.alias("z"), "a", "b").orderBy(F.abs("z").desc(), "key").limit(n_features).collect()
+    best = counts.where((F.col("a") + F.col("b")) >= LEAST_DOCS).select("key", z.alias("z"), "a", "b").where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "key").limit(n_features).collect()
     if not best:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 41.0, 42.0]))
     keys = np.array([r["key"] for r in best], np.int64).view(np.uint64)
@@ -185,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic, grade (most likely) and toxic (p_toxic over a half) of every row."""
+    """doc_id, severity (expected grade), p_toxic, grade (most likely) and toxic (p_toxic over CUT) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +201,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                         pa.array(np.round(above.sum(axis=1), 6)),
                         pa.array(np.round(above[:, 0], 6)),
                         pa.array(np.argmax(edges[:, :-1] - edges[:, 1:], axis=1).astype(np.int32)),
-                        pa.array(above[:, 0] > 0.5),
+                        pa.array(above[:, 0] > CUT),
                     ],
                     names=["doc_id", "severity", "p_toxic", "grade", "toxic"],
                 )
