@@ -32,7 +32,7 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(2**53)).cast("long").alias("chunk"),
+        F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(2**40)).cast("long").alias("chunk"),
     )
     order = [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
     within = Window.partitionBy("conv_id", "chunk").orderBy(*order)
