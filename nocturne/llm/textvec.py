@@ -179,7 +179,7 @@ def joined(w: Words, keep: np.ndarray | None = None, lower: bool = False) -> tup
     return data[mask], offsets, begin, stop
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes of text each; a longer row is a slice of its own."""
     if not batch.num_rows:
         return
