@@ -29,12 +29,12 @@ def icd_labels(spark, sf):
 
 @query(
     "demographics_join",
-    """WITH f AS (SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1)
+    """WITH f AS (SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1)
 SELECT c_custkey, c_mktsegment, n_name, r_name, coalesce(n, 0) AS n, mean FROM customer LEFT JOIN f ON c_custkey = o_custkey
 LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
 )
 def demographics_join(spark, sf):
-    f = t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    f = t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
     c, n, r = t(spark, sf, "customer"), t(spark, sf, "nation"), t(spark, sf, "region")
     sites = n.join(r, n.n_regionkey == r.r_regionkey, "left").select("n_nationkey", "n_name", "r_name")
     out = c.join(f, c.c_custkey == f.o_custkey, "left").join(sites, c.c_nationkey == sites.n_nationkey, "left")
