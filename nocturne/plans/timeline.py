@@ -13,7 +13,7 @@ from nocturne.plans.registry import query
 TYPES = sorted(STAGES)
 NAMES = ["W", "N1", "N2", "N3", "REM"]
 ORDER = ["t", "event_id"]
-w = W.over("pid", *ORDER)
+w = lambda: W.over("pid", *ORDER)  # noqa: E731  a window needs a session
 r6 = lambda c: F.round(c, 6)
 
 SQL_OVERLAP = f"""
@@ -183,7 +183,7 @@ ISLANDS = f"isl AS (SELECT *, sum(ch) {sql_over(ROWS.format('UNBOUNDED PRECEDING
 
 @query("stage_changed", f"WITH {EV} SELECT event_id, {CHANGED} AS changed, coalesce(CAST(stage <> lead(stage) {sql_over()} AS INTEGER), 0) AS will_change FROM ev")
 def stage_changed(spark, sf):
-    return ev(spark, sf).select("event_id", W.changed("stage", w).alias("changed"), W.will_change("stage", w).alias("will_change"))
+    return ev(spark, sf).select("event_id", W.changed("stage", w()).alias("changed"), W.will_change("stage", w()).alias("will_change"))
 
 
 @query(
@@ -235,8 +235,8 @@ def longest_run(spark, sf):
 def time_since_to(spark, sf):
     return ev(spark, sf).select(
         "event_id",
-        F.round(W.time_since(F.col("stage") == "W", "t", w), 6).alias("since_wake"),
-        F.round(W.time_to(F.col("stage") == "REM", "t", w), 6).alias("to_rem"),
+        F.round(W.time_since(F.col("stage") == "W", "t", w()), 6).alias("since_wake"),
+        F.round(W.time_to(F.col("stage") == "REM", "t", w()), 6).alias("to_rem"),
     )
 
 
@@ -251,10 +251,10 @@ FRAME = ROWS.format("3 PRECEDING", "3 FOLLOWING")
 def rolling_context(spark, sf):
     return ev(spark, sf).select(
         "event_id",
-        r6(W.rolling_mean("value", w, 3)).alias("mean7"),
-        r6(W.rolling_std("value", w, 3)).alias("std7"),
-        r6(F.col("value") - F.lag("value").over(w)).alias("diff"),
-        r6(F.col("value") - W.rolling_mean("value", w, 3)).alias("dev"),
+        r6(W.rolling_mean("value", w(), 3)).alias("mean7"),
+        r6(W.rolling_std("value", w(), 3)).alias("std7"),
+        r6(F.col("value") - F.lag("value").over(w())).alias("diff"),
+        r6(F.col("value") - W.rolling_mean("value", w(), 3)).alias("dev"),
     )
 
 
@@ -267,7 +267,7 @@ SELECT event_id, CASE WHEN n >= 3 THEN round((n * sxy - n * (n - 1) / 2 * sy) /
 )
 def rolling_trend(spark, sf):
     rows = ev(spark, sf).withColumn("x", F.when(F.col("event_id") % 7 != 0, F.col("value")))
-    return rows.select("event_id", r6(W.rolling_slope("x", w, 3)).alias("slope"))
+    return rows.select("event_id", r6(W.rolling_slope("x", w(), 3)).alias("slope"))
 
 
 @query(
@@ -306,7 +306,7 @@ def night_parts(spark, sf):
 
 @query("stage_transitions", f"WITH {EV} SELECT pid, CAST(sum(ch) AS BIGINT) AS transitions FROM (SELECT pid, {CHANGED} AS ch FROM ev) GROUP BY pid")
 def stage_transitions(spark, sf):
-    return ev(spark, sf).withColumn("ch", W.changed("stage", w)).groupBy("pid").agg(F.sum("ch").alias("transitions"))
+    return ev(spark, sf).withColumn("ch", W.changed("stage", w())).groupBy("pid").agg(F.sum("ch").alias("transitions"))
 
 
 @query(
@@ -317,13 +317,13 @@ SELECT event_id, round(CASE WHEN ne = 'error' THEN nt - t WHEN event_type = 'cli
 def duration_from_next(spark, sf):
     """Duration up to the next row if that is an end mark, else the default of the type."""
     default = F.when(F.col("event_type") == "click", 3.0).when(F.col("event_type") == "view", 10.0).otherwise(15.0)
-    gap = F.when(F.lead("event_type").over(w) == "error", F.lead("t").over(w) - F.col("t"))
+    gap = F.when(F.lead("event_type").over(w()) == "error", F.lead("t").over(w()) - F.col("t"))
     return ev(spark, sf).select("event_id", F.round(F.coalesce(gap, default), 6).alias("duration"))
 
 
 @query("successive_diffs", f"WITH {EV}, d AS (SELECT pid, value - lag(value) {sql_over()} AS d FROM ev) SELECT pid, round(sqrt(avg(d * d)), 6) AS rmssd, round(stddev_samp(d), 6) AS sdsd, round(100e0 * count(*) FILTER (abs(d) > 50) / count(d), 6) AS pnn50 FROM d GROUP BY pid")
 def successive_diffs(spark, sf):
-    d = ev(spark, sf).select("pid", (F.col("value") - F.lag("value").over(w)).alias("d"))
+    d = ev(spark, sf).select("pid", (F.col("value") - F.lag("value").over(w())).alias("d"))
     return d.groupBy("pid").agg(
         r6(F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("rmssd"), r6(F.stddev_samp("d")).alias("sdsd"), r6(100.0 * F.count_if(F.abs("d") > 50) / F.count("d")).alias("pnn50")
     )
@@ -338,7 +338,7 @@ FROM p JOIN ev v ON p.pid = v.pid AND v.event_type <> 'signup' AND v.t >= p.a AN
 def peaks_to_cycles(spark, sf):
     """Beats of each breathing cycle, from one peak to the next."""
     p = ev(spark, sf).where("event_type = 'signup'")
-    p = p.select("pid", "event_id", F.col("t").alias("a"), F.lead("t").over(w).alias("b")).where("b is not null")
+    p = p.select("pid", "event_id", F.col("t").alias("a"), F.lead("t").over(w()).alias("b")).where("b is not null")
     v = ev(spark, sf).where("event_type <> 'signup'").select("pid", F.col("t").alias("s"), F.col("t").alias("e"), "value")
     pairs = I.interval_join(p, v, "pid", ("a", "b"), ("s", "e"), DAY, touching=True).where("s < b")
     return pairs.groupBy("pid", "event_id").agg(F.count(F.lit(1)).alias("beats"), r6(F.max("value") - F.min("value")).alias("peak_valley"))
