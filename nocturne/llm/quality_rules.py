@@ -37,7 +37,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_length", 2.0, 14.0),
     ("symbol_word_ratio", None, 0.1),
     ("stop_word_ratio", 0.02, None),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
     ("bullet_line_ratio", None, 0.9),
     ("ellipsis_line_ratio", None, 0.3),
 )
