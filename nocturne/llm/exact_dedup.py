@@ -82,7 +82,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = base.join(shared, ["len", "sig"], "left_semi").select(
         "doc_id", "n_points", "norm", sha, F.monotonically_increasing_id().alias("copy")
     )
+    again = materialize(again, "copies")  # the rows' numbers must not change if a task runs again
     named = materialize(block_names(again, key, "norm", block), "identity")
+    discard(again)
     groups = named.groupBy("rounds", "name").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.max(F.struct("n_points", (-F.col("doc_id")).alias("back"), (-F.col("copy")).alias("late"))).alias("best"),

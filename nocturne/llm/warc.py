@@ -16,6 +16,7 @@ gives an empty archive; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -80,8 +81,10 @@ def records(resolved: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, F.col("_block")).alias("value"))
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 4000) -> None:
-    records(resolve(pages, min_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 4000, compression: str = "gzip") -> None:
+    """Archives of at most ``per_file`` records, each file one gzip stream (or plain, with compression="none")."""
+    rows = records(resolve(pages, min_bytes))
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r\n", re.M)
@@ -106,7 +109,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for fields, block in parse(content.as_py()):
+                data = content.as_py()
+                for fields, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind = fields[b"WARC-Type"].decode()
                     head, _, payload = block.partition(b"\r\n\r\n")
                     if kind == "response":
