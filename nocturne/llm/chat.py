@@ -6,8 +6,9 @@ no perspective.  The mask is the list of character spans that the assistant says
 end mark included.
 
 A conversation is rendered in parts: turns whose numbers share a quotient by SPAN, at most
-PART of them, so that no row holds an unbounded dialogue; a part's text follows on the
-text of the part before.
+PART of them, so that no task's work is an unbounded dialogue; a part's text follows on the
+text of the part before.  whole() puts the parts of a rendering together again, with masks
+counted from the start of the dialogue.
 
 Defined results: a null role is the speaker "unknown"; null text is empty; null turns come
 last; equal turns are ordered by speaker and text, and repeated rows are repeated turns; a
@@ -27,12 +28,37 @@ SPAN, PART = 256, 512
 
 def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
     """conv_id, perspective, part, n_turns, text, mask (array of struct start, end), masked_chars."""
+    part = F.coalesce("chunk", F.lit(2**40)).cast("long") * 1_000_000 + F.col("sub")
+    return _parts(turns, system).select("conv_id", "perspective", part.alias("part"), "n_turns", "text", "mask", "masked_chars")
+
+
+def whole(turns: DataFrame, system: str = "system") -> DataFrame:
+    """The columns of rotate() without part, one row for each conversation and perspective."""
+    part = F.struct(F.col("chunk").isNull().alias("last"), "chunk", "sub", "text", "mask")
+    both = _parts(turns, system).groupBy("conv_id", "perspective").agg(
+        F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(part)).alias("parts"), F.sum("masked_chars").alias("masked_chars")
+    )
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    mask = F.aggregate(
+        "parts",
+        F.struct(F.lit(0).alias("at"), none.alias("spans")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.char_length(p["text"])).alias("at"),
+            F.concat(acc["spans"], F.transform(p["mask"], lambda m: F.struct((acc["at"] + m["start"]).alias("start"), (acc["at"] + m["end"]).alias("end")))).alias("spans"),
+        ),
+        lambda acc: acc["spans"],
+    )
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    return both.select("conv_id", "perspective", "n_turns", text.alias("text"), mask.alias("mask"), "masked_chars")
+
+
+def _parts(turns: DataFrame, system: str) -> DataFrame:
     rows = turns.select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(2**40)).cast("long").alias("chunk"),
+        F.floor(F.col("turn") / SPAN).cast("long").alias("chunk"),
     )
     order = [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
     within = Window.partitionBy("conv_id", "chunk").orderBy(*order)
@@ -66,6 +92,6 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
     out = both.withColumns({"cut": cut, "out": text}).withColumn("mask", spans)
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return out.select(
-        "conv_id", "perspective", (F.col("chunk") * 1_000_000 + F.col("sub")).alias("part"), F.size("said").cast("long").alias("n_turns"),
+        "conv_id", "perspective", "chunk", "sub", F.size("said").cast("long").alias("n_turns"),
         F.col("out").alias("text"), "mask", masked.alias("masked_chars"),
     )

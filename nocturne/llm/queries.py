@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nocturne.llm.chat import rotate
+from nocturne.llm.chat import whole
 from nocturne.llm.common import table
 from nocturne.llm.exact_dedup import exact_dedup
 from nocturne.llm.html_extract import html_extract
@@ -38,7 +38,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from every participant's side, with the mask as text: start-end of each span."""
-    out = rotate(table(spark, sf_dir, "conversations"))
+    out = whole(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ";")
     return out.select("conv_id", "perspective", "n_turns", "text", spans.alias("mask"), "masked_chars")
 
