@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -63,18 +65,88 @@ def combined_selection(df: DataFrame, label: str, features: list[str], k: int) -
     return both.withColumn("score", score).orderBy(F.desc("score"), "feature").limit(k)
 
 
-def smote(df: DataFrame, label: str, key: str, features: list[str], seed: int = 42) -> DataFrame:
-    """Rows of the minority class until the classes are even: points between a row and its neighbour in hashed order of the class."""
+def neighbours(df: DataFrame, key: str, features: list[str], k: int = 5, band: int = 1024) -> DataFrame:
+    """(key, near): the k nearest other rows of each row by Euclidean distance, nearest first, ties by key; near holds their features.
+
+    A line through the feature space is cut into bands of about ``band`` rows.  A distance along it is never above the distance
+    in space, so the k-th distance within a row's own band tells which other bands can hold a nearer row; these are searched too.
+    """
+    d = len(features)
+    line = np.sqrt(np.arange(2, d + 2))
+    line /= np.linalg.norm(line)
+    at = sum((F.col(c) * F.lit(float(w)) for c, w in zip(features, line)), F.lit(0.0))
+    rows = df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), at.alias("at"))
+    cuts = max(rows.count() // band, 1)
+    edges = np.unique(rows.approxQuantile("at", [i / cuts for i in range(1, cuts)], 0.1 / cuts)) if cuts > 1 else np.zeros(0)
+    kind = rows.schema["key"].dataType.simpleString()
+    found = f"key {kind}, d double, other {kind}, nx array<double>"
+
+    def nearest(own, all_, same):
+        """For each row of own (its place in all_ left out if same): places of the k nearest in all_, and their distances."""
+        x, y, names = np.stack(own["x"]), np.stack(all_["x"]), all_["key"].rank(method="first").to_numpy()
+        for low in range(0, len(x), 256):
+            part = x[low : low + 256]
+            far = np.zeros((len(part), len(y)))
+            for i in range(d):
+                far += (part[:, i, None] - y[None, :, i]) ** 2
+            if same:
+                far[np.arange(len(part)), low + np.arange(len(part))] = np.inf
+            for i, line in enumerate(far):
+                limit = np.partition(line, k - 1)[k - 1] if len(line) > k else np.inf
+                places = np.flatnonzero((line <= limit) & (line < np.inf))
+                places = places[np.lexsort((names[places], line[places]))][:k]
+                yield low + i, places, np.sqrt(line[places])
+
+    def table(own, all_, same):
+        out = [(own["key"].iat[i], r, all_["key"].iat[j], all_["x"].iat[j]) for i, places, far in nearest(own, all_, same) for j, r in zip(places, far)]
+        return pd.DataFrame(out, columns=["key", "d", "other", "nx"])
+
+    def within(own):
+        return table(own, own, True)
+
+    def across(asks, held):
+        asks = asks.rename(columns={"asks_key": "key", "asks_x": "x"})
+        return table(asks, held, False) if len(asks) and len(held) else pd.DataFrame([], columns=["key", "d", "other", "nx"])
+
+    @F.pandas_udf("int")
+    def band_of(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy(), "right").astype(np.int32))
+
+    rows = rows.withColumn("band", band_of("at"))
+    first = rows.groupBy("band").applyInPandas(within, found)
+    reach = first.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("r"))
+    asks = rows.join(reach, "key", "left").withColumn("r", F.coalesce(F.col("r") * (1 + 1e-9) + 1e-9, F.lit(float("inf"))))
+    asks = asks.withColumn("to", F.explode(F.sequence(band_of(F.col("at") - F.col("r")), band_of(F.col("at") + F.col("r"))))).where("to <> band")
+    asks = asks.select(F.col("key").alias("asks_key"), F.col("x").alias("asks_x"), "to")
+    more = asks.groupBy("to").cogroup(rows.groupBy("band")).applyInPandas(across, found)
+    both = first.unionByName(more).groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "nx"))), 1, k).alias("near"))
+    return both.select(F.col("key").alias(key), F.transform("near", lambda n: n["nx"]).alias("near"))
+
+
+def smote(df: DataFrame, label: str, key: str, features: list[str], seed: int = 42, k: int = 5) -> DataFrame:
+    """Rows of the minority class until the classes are even: points between a row and one of its k nearest in the class, features scaled.
+
+    A missing feature counts as the mean for distances and is missing in what is made of it; a class of one row gives copies of it.
+    """
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = df.select(key, label, *features)
+    if not sizes or len(set(sizes.values())) == 1:
+        return own
     small, large = min(sizes, key=sizes.get), max(sizes.values())
-    rows = df.where(F.col(label) == small)
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))).orderBy(features[0], key)
-    rows = rows.withColumns({f"_n_{c}": F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c)) for c in features})
-    need = large - sizes[small]
-    copies = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(-(-need // sizes[small])))))  if need else rows.limit(0).withColumn("_i", F.lit(1))
-    u = F.pmod(F.xxhash64(F.lit(seed), key, "_i"), F.lit(1000)) / 1000.0
-    made = copies.select(key, F.lit(small).alias(label), *[(F.col(c) + u * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in features])
-    return df.select(key, label, *features).unionByName(made.limit(need))
+    scale = df.agg(*[F.struct(F.avg(c), F.stddev_pop(c)).alias(c) for c in features]).first()
+    means, stds = [scale[c][0] or 0.0 for c in features], [scale[c][1] or 1.0 for c in features]
+    rows = own.where(F.col(label).eqNullSafe(F.lit(small)))
+    scaled = rows.select(key, *[F.coalesce((F.col(c) - m) / s, F.lit(0.0)).alias(c) for c, m, s in zip(features, means, stds)])
+    rows = rows.join(neighbours(scaled, key, features, k), key, "left")
+    times, rest = divmod(large - sizes[small], sizes[small])
+    draw = lambda what, *also: F.xxhash64(F.lit(seed), F.lit(what), key, *also)
+    extra = rows.select(key).orderBy(draw("extra"), key).limit(rest).select(key, F.lit(1).alias("_more"))
+    rows = rows.join(extra, key, "left").withColumn("_times", F.lit(times) + F.coalesce("_more", F.lit(0))).where("_times > 0")
+    copies = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    pick = F.get("near", F.pmod(draw("pick", "_i"), F.greatest(F.size("near"), F.lit(1))).cast("int"))
+    copies = copies.withColumns({"_n": pick, "_u": F.pmod(draw("place", "_i"), F.lit(2**53)) / float(2**53)})
+    made = [(F.col(c) + F.col("_u") * F.coalesce(F.get("_n", F.lit(i)) * s + m - F.col(c), F.lit(0.0))).alias(c) for i, (c, m, s) in enumerate(zip(features, means, stds))]
+    return own.unionByName(copies.select(key, label, *made))
 
 
 MODELS = {

@@ -103,8 +103,9 @@ def train_predict(spark, sf):
 
 @query("smote_balance")
 def smote_balance(spark, sf):
+    """The rows and those made of them, which have the doc_id of the row they start from."""
     out = learning.smote(cohort_matrix(spark, sf), "label", "doc_id", ["a", "b", "c"])
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("a")).alias("a"))
+    return out.select("doc_id", "label", r6("a").alias("a"), r6("b").alias("b"), r6("c").alias("c"))
 
 
 @query("prevalence_fold", f"WITH {SC}, n AS (SELECT count(*) FILTER (y2 = 0) AS neg, count(*) FILTER (y2 = 1) AS pos FROM sc) SELECT neg AS n_neg, least(pos, greatest(1, CAST(floor(neg * 0.05e0 / 0.95e0) AS BIGINT))) AS n_pos FROM n")
