@@ -11,6 +11,9 @@ blocks belong to the text, so headings and short paragraphs aren't lost.
 Before that, what cannot be article text is left out: scripts, styles, forms, menus,
 headers, footers and sidebars by tag, and adverts, notices, comments and the like by the
 words of class, id and role.  Inside <article> or <main> a <header> is part of the text.
+A div or section with such a word (a layout class) is left out only if it holds neither
+main nor the page's articles and less than half of the text that stays; otherwise only the
+marked parts in it are left out.
 
 Defined results: null or empty html gives empty text and n_chars 0; unclosed, stray and
 crossed tags close at their container's end; equal rows give equal results; an empty
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -55,7 +59,43 @@ SHARE = 0.5
 
 def blocks_of(html: str) -> list[tuple[tuple[str, ...], str]]:
     """(tag path, text) of the blocks that may be content, in page order."""
+    nodes = [_Node(-1, -1)]
+    out = _walk(html, nodes, None)
+    return _walk(html, nodes[:1], _spared(nodes)) if len(nodes) > 1 else out
+
+
+@dataclass
+class _Node:
+    """A marked div or section (the first one is the page): its place, the node about it, and what it holds outside inner nodes."""
+
+    at: int
+    parent: int
+    size: int = 0
+    articles: int = 0
+    mains: int = 0
+
+
+def _spared(nodes: list[_Node]) -> set[int]:
+    """Places of the marked divs and sections that are read all the same; inner ones are judged before outer ones."""
+    apart = nodes[0].articles > 0  # cards of other articles
+    total = sum(n.size for n in nodes)
+    out = set()
+    for n in reversed(nodes[1:]):
+        about = nodes[n.parent]
+        about.articles += n.articles
+        about.mains += n.mains
+        if n.mains or n.articles and not apart or n.size and 2 * n.size >= total:
+            out.add(n.at)
+            about.size += n.size
+        else:
+            total -= n.size
+    return out
+
+
+def _walk(html: str, nodes: list[_Node], spared: set[int] | None) -> list[tuple[tuple[str, ...], str]]:
+    """The blocks without marked divs and sections that aren't spared; with None these are read and put down in ``nodes``."""
     stack: list[str] = []
+    within = [(0, 0)]  # depth and number of the open nodes
     out: list[tuple[tuple[str, ...], str]] = []
     text: list[str] = []
     skip = 0  # depth of the stack at which a part left out began
@@ -73,12 +113,15 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str]]:
         del stack[to:]
         if skip and len(stack) < skip:
             skip = 0
+        while len(stack) < within[-1][0]:
+            within.pop()
 
     for m in _TOKEN.finditer(html):
         token = m.group()
         if token[0] != "<" or len(token) == 1:
             if not skip:
                 text.append(token)
+                nodes[within[-1][1]].size += len("".join(token.split()))
             continue
         name = m.group(3)
         if name is None:
@@ -118,8 +161,19 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str]]:
         stack.append(name)
         if not skip:
             inside = "article" in stack[:-1] or "main" in stack[:-1]
-            if name in LEFT_OUT or name == "header" and not inside or name not in ("html", "body", "article", "main") and _marked(m.group(4)):
+            if name in LEFT_OUT or name == "header" and not inside:
                 skip = len(stack)
+            elif name in ("article", "main"):
+                if not _marked(m.group(4)):
+                    here = nodes[within[-1][1]]
+                    here.articles += name == "article"
+                    here.mains += name == "main"
+            elif name not in ("html", "body") and _marked(m.group(4)):
+                if name not in ("div", "section") or _HIDDEN.search(m.group(4)) or spared is not None and m.start() not in spared:
+                    skip = len(stack)
+                elif spared is None:
+                    nodes.append(_Node(m.start(), within[-1][1]))
+                    within.append((len(stack), len(nodes) - 1))
     if not skip:
         flush()
     return out
