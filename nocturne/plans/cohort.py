@@ -322,7 +322,7 @@ def kruskal(spark, sf):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
     """Interval of the mean score over Poisson replicates with a fixed seed."""
-    b = C.poisson_bootstrap(scored(spark, sf).select("doc_id", "score"), "doc_id", 200, 42)
+    b = C.poisson_bootstrap(scored(spark, sf).select("doc_id", "score"), "doc_id", 1000, 42)
     m = b.groupBy("replicate").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("m"))
     return m.agg(r6(F.percentile("m", F.lit(0.025))).alias("low"), r6(F.percentile("m", F.lit(0.975))).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
