@@ -13,8 +13,10 @@ counted from the start of the dialogue.
 Defined results: a null role is the speaker "unknown"; null text is empty; null turns come
 last; equal turns are ordered by speaker and text, and repeated rows are repeated turns; a
 conversation with system turns only gives no row; a null conversation id is a
-conversation; marks within a text lose their force by a space; an empty table gives an
-empty result; other columns are ignored.
+conversation; marks within a text or a speaker's name lose their force by a space, as do
+line ends within a name; an empty role is a speaker without a name; participants who say
+the same at the same turn have a row each; a dialogue of any length is one row of whole();
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,8 +71,9 @@ def _parts(turns: DataFrame, system: str) -> DataFrame:
     both = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.*", "perspective")
 
     def head(t):
+        name = F.translate(F.replace(t["speaker"], F.lit("<|"), F.lit("< |")), "\r\n", "  ")
         label = F.when(t["speaker"] == system, F.lit("system")).when(t["speaker"] == F.col("perspective"), F.lit("assistant"))
-        return F.concat(F.lit(OPEN), F.coalesce(label, F.concat(F.lit("user name="), t["speaker"])), F.lit("\n"))
+        return F.concat(F.lit(OPEN), F.coalesce(label, F.concat(F.lit("user name="), name)), F.lit("\n"))
 
     cut = F.transform("said", lambda t: F.struct(
         (t["speaker"] == F.col("perspective")).alias("own"), F.char_length(head(t)).alias("head"), (F.char_length(t["text"]) + len(CLOSE)).alias("body")

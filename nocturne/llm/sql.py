@@ -12,7 +12,7 @@ WITH t AS (
 ), r AS (
   SELECT t.*, p.perspective, speaker = perspective AS own,
     '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
-      ELSE 'user name=' || speaker END || chr(10) AS head
+      ELSE 'user name=' || translate(replace(speaker, '<|', '< |'), chr(13) || chr(10), '  ') END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
   SELECT *, length(text) + 10 AS body,
