@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts have it: [\x20\x09-\x0D].
@@ -48,6 +48,23 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str, what: str = "ranks", rest: list[Column] = ()) -> DataFrame:
+    """``df``, written, with each row's place in the given order, 0 first; ``order`` and ``rest`` tell all rows apart.
+
+    Rows are dealt by range of ``order``, which the driver samples, and a partition's places follow on the number of rows before
+    it: the place doesn't depend on where the ranges are cut.  The numbers of rows are a
+    row for each partition, summed in one task and joined as a small table.
+    """
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order, *rest).withColumn("_at", F.monotonically_increasing_id()), what + "-places")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    out = rows.join(F.broadcast(base), part == F.col("_part")).select(*df.columns, (F.col("_base") + place).alias(name))
+    out._nocturne_path = rows._nocturne_path
+    return out
+
+
 def strip_blanks(text: Column) -> Column:
     """The text without white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

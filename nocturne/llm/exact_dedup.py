@@ -2,7 +2,7 @@
 
 Texts are equal when they are identical after all white space is deleted.  A text is cut
 into blocks of a fixed number of code points.  The distinct blocks are sorted, and a
-block's place in that order is its integer name; then adjacent pairs of names are named
+block's place in that order is its integer name, the same in every run; then adjacent pairs of names are named
 in the same way, again and again, until each document has a single name.  Two documents
 have the same (rounds, name) if and only if their texts are equal: no hash decides.
 
@@ -12,7 +12,9 @@ before they are used, so a task that runs again reads the same names.
 
 Defined results: null text is the empty text; all empty texts are one group; an empty
 table gives an empty result; rows with the same doc_id are rows of
-their own, and of rows equal in all respects exactly one is kept; other
+their own, and of rows equal in all respects exactly one is kept; ids may be of any type
+that sorts, and a null doc_id stays only where no other row of its group is as long; a
+very long text is many blocks, named like any others; other
 columns of the input are ignored, whatever their names.
 """
 
@@ -21,17 +23,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import discard, materialize, strip_blanks
+from nocturne.llm.common import discard, materialize, ranked, strip_blanks
 
 BLOCK = 4096
 
 
 def _named(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct rows of ``keys`` with an integer name that follows their sort order."""
-    keys = keys.select(*columns).distinct()
-    first = F.substring(keys[columns[0]].cast("string"), 1, 32) if columns == ["block"] else F.col(columns[0])
-    ordered = keys.repartitionByRange(first).sortWithinPartitions(*columns)  # the driver samples the short key only
-    return materialize(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
+    """Distinct rows of ``keys`` with their place in sort order as an integer name.
+
+    Blocks are sorted by their first 32 characters, their hash and then themselves, so that
+    the driver samples short keys only and blocks with one opening are spread.
+    """
+    order = [F.substring("block", 1, 32), F.xxhash64("block"), F.col("block")] if columns == ["block"] else [F.col(c) for c in columns]
+    if columns != ["block"]:
+        return ranked(keys.select(*columns).distinct(), order, "name", "names")
+    first = keys.select("block").distinct().withColumns({"_a": order[0], "_b": order[1]})
+    return ranked(first, [F.col("_a"), F.col("_b")], "name", "names", [F.col("block")])
 
 
 def block_names(texts: DataFrame, key: list[str], text: str, block: int = BLOCK) -> DataFrame:
@@ -75,7 +82,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.char_length(text_col), F.lit(0)).alias("n_points"),
         strip_blanks(F.col(text_col)).alias("norm"),
     ).withColumns({"len": F.length("norm"), "sig": F.xxhash64("norm")})
-    shared = base.groupBy("len", "sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written, so that the joins below are between two shuffles, of which a hot key's can be split.
+    shared = materialize(base.groupBy("len", "sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
     sha = F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")
     alone = base.select("doc_id", "len", "sig", sha).join(shared, ["len", "sig"], "left_anti")
     key = ["doc_id", "n_points", "text_sha256", "copy"]
@@ -85,15 +93,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = materialize(again, "copies")  # the rows' numbers must not change if a task runs again
     named = materialize(block_names(again, key, "norm", block), "identity")
     discard(again)
-    groups = named.groupBy("rounds", "name").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct("n_points", (-F.col("doc_id")).alias("back"), (-F.col("copy")).alias("late"))).alias("best"),
-    )
+    best = F.min(F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
+    groups = materialize(named.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "groups")
     copies = named.join(groups, ["rounds", "name"]).select(
         "doc_id",
-        (-F.col("best.back")).alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("copy") == -F.col("best.late")).alias("kept"),
+        (F.col("copy") == F.col("best.copy")).alias("kept"),
         "text_sha256",
     )
     return alone.select(
