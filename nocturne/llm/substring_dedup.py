@@ -11,7 +11,7 @@ tasks' sketches are merged shard by shard.  A window's estimate is its minimizer
 is never less than the number of documents that hold the window.
 
 Second pass: windows with an estimate of 2 or more, and no others, are grouped exactly,
-by 96 bits of hash.  A false estimate costs a row and changes no result, so a sketch that
+by 96 bits of two independent hashes.  A false estimate costs a row and changes no result, so a sketch that
 a corpus overfills makes the second pass larger and loses nothing.
 
 The sketch has ROWS * 2**bits counters, ``bits`` following the size of the corpus up to
@@ -20,7 +20,7 @@ most.
 
 Defined results: null text has no words; texts of fewer than 50 words lose nothing; rows
 with the same doc_id are judged each for itself and don't make each other lose words; a
-null doc_id is smaller than none and loses nothing; an empty table gives an empty result;
+text of any length is read whole; a null doc_id is smaller than none and loses nothing; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nocturne.llm.common import materialize
 from nocturne.llm.textvec import Words, buffer_of, joined, mix, pieces, window_hashes, window_ok, word_hashes, words_of
 
 ROWS = 2
@@ -146,7 +147,7 @@ def candidates(docs: DataFrame, window: int, bits: int, bitmap) -> DataFrame:
                     continue
                 row = w.rows()[at]
                 first = window_hashes(hashes, window)[at]
-                second = window_hashes(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), window)[at]
+                second = window_hashes(word_hashes(w, other=True), window)[at]
                 yield pa.record_batch(
                     [
                         piece.column(0).take(pa.array(row)),
@@ -170,6 +171,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bitmap = spark.sparkContext.broadcast(sketch(base.select("text"), window, bits))
     found = candidates(base, window, bits, bitmap)
     least = found.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = materialize(least, "least")  # the join is then between two shuffles, of which a hot window's can be split
     hits = found.join(least, ["h", "g"]).where("doc_id > least").select("doc_id", "copy", "at")
     places = hits.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("at"))
     marked = base.join(places, ["doc_id", "copy"], "left").select("doc_id", "text", "at")

@@ -26,6 +26,7 @@ LOWER[65:91] += 32
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD1342543DE82EF95 | 1
 _CODES = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint64)
+_OTHER_BASE, _OTHER_CODES = 0x8EBC6AF09C88C6E3 | 1, np.random.default_rng(0x07E4).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,11 +110,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, start, end, np.searchsorted(start, offsets))
 
 
-def span_hashes(data: np.ndarray):
-    """A function of (starts, ends) that gives a uint64 for each byte span, equal for equal bytes."""
-    up, down = powers(_BYTE_BASE, len(data) + 1)
+def span_hashes(data: np.ndarray, other: bool = False):
+    """A function of (starts, ends) that gives a uint64 for each byte span, equal for equal bytes; ``other``: of an independent family."""
+    up, down = powers(_OTHER_BASE if other else _BYTE_BASE, len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_OTHER_CODES if other else _CODES)[data] * up[: len(data)], out=total[1:])
 
     def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (end - start).astype(np.uint64)
@@ -122,9 +123,9 @@ def span_hashes(data: np.ndarray):
     return of
 
 
-def word_hashes(w: Words, lower: bool = False) -> np.ndarray:
+def word_hashes(w: Words, lower: bool = False, other: bool = False) -> np.ndarray:
     """A uint64 for each word, equal for equal bytes."""
-    return span_hashes(LOWER[w.data] if lower else w.data)(w.start, w.end)
+    return span_hashes(LOWER[w.data] if lower else w.data, other)(w.start, w.end)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
