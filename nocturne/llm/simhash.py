@@ -9,7 +9,7 @@ the bits are cut into B blocks and at most 4 bits differ, at least B - 4 blocks
 each choice of B - 4 blocks is one grouping, and no link is lost.  B grows with the
 number of fingerprints (5 groupings at B = 5, 15 at 6, 35 at 7, ...) so that chance
 members of a group stay few.  Each fingerprint has a row of Hamming distances to the
-pivots, fixed reference fingerprints.  A candidate pair is discarded if any coordinate
+pivots, fixed reference fingerprints, worked out once and carried as bytes.  A candidate pair is discarded if any coordinate
 of its rows differs by more than ``most``, since |d(x,p) - d(y,p)| <= d(x,y); the
 survivors are verified by their own distance.
 
@@ -18,7 +18,7 @@ cells, one for each pair of its parts, so no task holds more than two parts.  A
 puts out a spanning forest of its links and not the links.
 
 Defined results: null or blank text has fingerprint zero and links like any other; fewer
-than 4 words are one shingle; rows with the same doc_id are rows of their own; a null
+than 4 words are one shingle; a text of any length is read whole; rows with the same doc_id are rows of their own; a null
 doc_id is never a component's id unless all are null; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -85,6 +85,22 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20_240_607).integers(0, 2**64, n, dtype=np.uint64)
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp, far): the distances of each fingerprint to the pivots, a byte each."""
+    refs = pivots()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            far = np.zeros((len(fp), len(refs)), np.uint8)
+            for k, ref in enumerate(refs):
+                far[:, k] = np.bitwise_count(fp ^ ref)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(refs)), len(fp), [None, pa.py_buffer(far.tobytes())])
+            yield pa.record_batch([batch.column(0), raw.cast(pa.binary())], names=["fp", "far"])
+
+    return fps.select("fp").mapInArrow(kernel, "fp long, far binary")
+
+
 def groupings(n: int, most: int) -> list[int]:
     """Bit masks, one for each choice of blocks, with about as many key bits as n fingerprints ask for."""
     blocks = most + 1
@@ -110,18 +126,18 @@ def _pairs(size: np.ndarray, start: np.ndarray, most: int = 1 << 20) -> Iterator
         low = high
 
 
-def _forest(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links of the components within each cell (rows sorted by cell)."""
+def _forest(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links of the components within each cell (rows sorted by cell); ``table`` has a row of pivot distances for each row."""
     n = len(fp)
     cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     size = np.diff(np.append(cut, n))
-    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+    table = table.astype(np.int8)
     root = np.arange(n)
     for a, b in _pairs(size, cut):
         far = root[a] != root[b]
         far &= (side[a] == 2) | (side[a] != side[b])
         a, b = a[far], b[far]
-        for k in range(len(refs)):
+        for k in range(table.shape[1]):
             if not len(a):
                 break
             near = np.abs(table[a, k] - table[b, k]) <= most
@@ -149,25 +165,26 @@ def links(fps: DataFrame, most: int = 4, cell: int = CELL) -> DataFrame:
     """
     masks = groupings(fps.count(), most)
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)]))
-    keyed = fps.select("fp", key.alias("k")).select("fp", "k.g", "k.key")
+    table = materialize(pivot_table(fps), "pivots")
+    keyed = table.select("fp", "far", key.alias("k")).select("fp", "far", "k.g", "k.key")
     sizes = keyed.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keyed.join(sizes, ["g", "key"]).withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))
     own = F.pmod(F.xxhash64("fp", "g"), F.col("parts")).cast("int")
     members = members.withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.select("fp", "g", "key", "own", other.alias("other"))
+    dealt = members.select("fp", "far", "g", "key", "own", other.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("byte")
-    dealt = dealt.select("fp", F.xxhash64("g", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"))
-    refs = pivots()
+    dealt = dealt.select("fp", F.xxhash64("g", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "far")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(columns: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _forest(columns[0].view(np.uint64), columns[1], columns[2], refs, most)
+            a, b = _forest(columns[0].view(np.uint64), columns[1], columns[2], columns[3], most)
             return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new.append(np.frombuffer(pa.concat_arrays([batch.column(3)]).cast(pa.binary(PIVOTS)).buffers()[1] or b"", np.uint8)[: len(batch) * PIVOTS].reshape(-1, PIVOTS))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             whole = int(np.searchsorted(held[1], held[1][-1], "left")) if len(held[1]) else 0
             if whole:
@@ -186,6 +203,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(fps, most))
     label = fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = label.join(ids, "root").select("fp", "component_id")
+    # Written, so that the joins are between two shuffles, of which a hot key's can be split.
+    ids = materialize(label.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = materialize(label.join(ids, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
