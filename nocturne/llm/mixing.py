@@ -2,8 +2,9 @@
 
 Every source is a stream of words: its documents in a shuffled order that a seeded hash
 fixes, end to end.  The stream is cut into blocks of equal size, in words.  Slot n of the
-schedule gets the point frac((n + 1/2) * golden ratio); the source whose interval of the
-cumulative target weights holds the point owns the slot.  The slots of a source are
+schedule gets the point frac((n + 1) * golden ratio), in integers modulo 2**64; the source whose interval of the
+cumulative target weights holds the point owns the slot: both are cut into CELLS equal
+cells of [0, 1) and joined by cell, so a slot meets the few sources of its cell only.  The slots of a source are
 ranked, and its slot of rank k takes block k of its stream; a stream that is used up
 starts again, and ends for good after ``max_epochs`` passes.
 
@@ -13,7 +14,8 @@ most of the rows is spread over as many tasks as its size asks for.  Only the ta
 sources passes through one task, with a row for each source.
 
 Defined results: null text has size 0; a document of size 0 takes 0 words; a null source
-is a source of its own, after all others; repeated rows are rows of their own; with no
+is a source of its own, after all others; repeated rows are rows of their own; rows of one
+source with equal hash, id and size follow each other; a text of any length has its size; with no
 words at all targets are 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from nocturne.llm.common import count_words, discard, materialize
 
-GOLDEN = 0.6180339887498949
+GOLDEN = 0x9E3779B97F4A7C15  # of 2**64
+CELLS = 4096
 BLOCK = 256
 CHUNK = 4_000
 
@@ -74,16 +77,12 @@ def schedule(plan: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFra
     spark = plan.sparkSession
     total = plan.agg(F.sum("target")).first()[0] or 0.0
     slots = spark.range(max(0, round(total / block)))
-    point = (F.col("id") + 0.5) * F.lit(GOLDEN)
-    slots = slots.select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point"), F.floor(F.col("id") / chunk).alias("chunk"))
-    owner = plan.where("target > 0").select("source_no", "low", "high").orderBy("low")
-    bounds = owner.agg(F.array_sort(F.collect_list(F.struct("low", "high", "source_no"))).alias("bounds"))
-    owned = slots.crossJoin(F.broadcast(bounds)).select(
-        "slot",
-        "chunk",
-        F.filter("bounds", lambda b: (F.col("point") >= b["low"]) & (F.col("point") < b["high"]))[0]["source_no"].alias("source_no"),
-        F.lit(1).alias("one"),
-    )
+    product = F.expr(f"cast(id + 1 as decimal(19, 0)) * cast({GOLDEN} as decimal(20, 0)) % cast({2**64} as decimal(20, 0))")
+    point = F.least(product.cast("double") / float(2**64), F.lit(1 - 2.0**-53))
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1)).cast("int")
+    slots = slots.select(F.col("id").alias("slot"), point.alias("point"), F.floor(F.col("id") / chunk).alias("chunk")).withColumn("cell", cell(F.col("point")))
+    owner = plan.where("target > 0 and low < high").select("source_no", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    owned = slots.join(owner, "cell").where("point >= low and point < high").select("slot", "chunk", "source_no", F.lit(1).alias("one"))
     return _running(owned, "source_no", "chunk", ["slot"], "one", "rank").select("source_no", "rank", "slot")
 
 
@@ -97,20 +96,25 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    copies: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each document.
+
+    ``copies`` adds source and copy, the hash of the text, which tell apart documents that share an id.
+    """
+    also = ["source", "copy"] if copies else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), *([F.xxhash64(text_col).alias("copy")] if copies else []))
     slim = materialize(slim, "sizes")
     plan = materialize(
         targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).drop("n"), weights, share, max_epochs), "targets"
     )
     n = slim.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CHUNK)).alias("chunks"))
     sources = plan.join(n, plan.source.eqNullSafe(n.source)).select(plan["*"], "chunks")
-    rows = slim.join(sources, slim.source.eqNullSafe(sources.source)).select("doc_id", "size", "source_no", "source_size", "target", "chunks")
+    rows = slim.join(sources, slim.source.eqNullSafe(sources.source)).select("doc_id", "size", "source_no", "source_size", "target", "chunks", *[slim[c] for c in also])
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     rows = rows.withColumns({"key": key, "chunk": F.pmod(F.shiftright(key, 7), F.col("chunks"))})
-    placed = _running(rows, "source_no", "chunk", ["key", "doc_id", "size"], "size", "start")
-    placed = materialize(placed.select("doc_id", "size", "source_no", "source_size", "target", "start"), "placed")
+    placed = _running(rows, "source_no", "chunk", ["key", "doc_id", "size", *also[1:]], "size", "start")
+    placed = materialize(placed.select("doc_id", "size", "source_no", "source_size", "target", "start", *also), "placed")
 
     # Pieces of each document by block, for each pass over the stream.
     used = placed.where("size > 0").select("doc_id", "source_no", "size", "start", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("epoch"), "source_size")
@@ -121,8 +125,8 @@ def mix(
     taken = pieces.join(schedule(plan, block), ["source_no", "rank"]).groupBy("doc_id", "source_no", "start").agg(F.sum("n").alias("taken"))
     same = ["source_no", "start"]
     filled = placed.where("size > 0").join(taken.withColumnRenamed("doc_id", "_id"), same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *also
     )
-    nothing = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    nothing = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *also)
     discard(slim)
     return filled.unionByName(nothing)
