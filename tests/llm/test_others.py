@@ -199,7 +199,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import sentencepiece
 
     from nocturne.llm import mixing
-    from tests.llm.test_documents import brute_fp, words
+    from tests.llm.test_documents import words
+    from tests.llm.test_near import jaccard, shingles
 
     rng = random.Random(4)
     good = [prose(rng, rng.randint(60, 200)) + " the of and the of" for _ in range(60)]
@@ -221,12 +222,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         seen.append(sorted(r.doc_id for r in docs.collect()))
     assert seen[0] == sorted([*range(len(good) + len(near) + 2), 20])
     assert seen[1] == [i for i in range(len(good) + len(near))] or set(range(60 + 3)) - set(seen[1]) == {11} and 64 in seen[1]
-    fps = {i: brute_fp(texts[i]) for i in seen[1]}
-    root = {i: min(j for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4) for i in fps}
+    sets = {i: shingles(texts[i]) for i in seen[1]}
+    root = {i: min(j for j in sets if jaccard(sets[i], sets[j]) >= 0.8) for i in sets}  # no chains among these
     assert seen[2] == sorted(i for i in fps if root[i] == i) and len(seen[2]) < len(seen[1])
     kept = spark.createDataFrame([r for r in rows[: len(texts)] if r[0] in set(seen[2])], SCHEMA)
     taken = {r.doc_id: r.taken / r["size"] for r in mixing.mix(kept).collect()}
     assert collections.Counter(seen[3]) == +collections.Counter({i: int(v + 0.5) for i, v in taken.items()})
+    size = {i: len(words(texts[i])) for i in seen[2]}
+    targets = collections.defaultdict(set)
+    out_words = collections.Counter()
+    for r in mixing.mix(kept, copies=True).collect():
+        targets[r.source].add(r.target)
+    for i in seen[3]:
+        out_words[rows[i][3]] += size[i]
+    for s, t in targets.items():  # only documents at the end of a pass are rounded, and blocks of 256 words
+        assert abs(out_words[s] - t.pop()) <= 2 * 256 + 2 * max(size.values())
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == seen[3]
