@@ -127,7 +127,7 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"original": F.lit(1), "payload_bytes": F.lit(0), "value": F.lit("v")})
     for least in (0, 9):
         path = str(tmp_path / f"w{least}")
-        warc.write_archive(df, path, least, per_file=4)
+        warc.write_archive(df, path, least, most=3000)
         got = {r.page_id: r for r in warc.read_archive(spark, path, payloads=True).collect()}
         assert len(got) == len(rows)
         first = {}
@@ -140,6 +140,25 @@ def test_warc(spark, tmp_path):
             assert (r.record_type, r.refers_to) == (("revisit", first[h or ""]) if again else ("response", None))
             assert bytes(r.payload) == (b"" if again else data)
     assert warc.warc_round_trip(df.limit(0)).count() == 0
+    plain = str(tmp_path / "plain")
+    warc.write_archive(df, plain, most=3000, compression="none")
+    files = [p for p in os.listdir(plain) if p.startswith("part")]
+    data = [open(os.path.join(plain, p), "rb").read() for p in files]
+    assert len(files) > 2 and all(d.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and d.endswith(b"\r\n\r\n") and len(d) < 9000 for d in data)
+    assert warc.read_archive(spark, plain).count() == len(rows)
+
+
+def test_warc_of_a_hot_page_and_odd_ids(spark, tmp_path):
+    """A page that comes 3,000 times is one payload; ids that are texts; repeated rows; a page of 40 MB."""
+    big = "x" * 40_000_000
+    rows = [(f"p{i:04}", "u", "<p>not found</p>") for i in range(3000)] + [("big", "u", big), ("p0000", "u", "<p>not found</p>"), (None, None, "<p>no id</p>")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    path = str(tmp_path / "hot")
+    warc.write_archive(df, path)
+    got = warc.read_archive(spark, path, page_id="string").collect()
+    assert len(got) == len(rows) and sum(r.record_type == "response" for r in got) == 4  # both rows of p0000 have the least id
+    assert all(r.refers_to == "p0000" for r in got if r.record_type == "revisit")
+    assert [r.payload_bytes for r in got if r.page_id == "big"] == [len(big)]
 
 
 def labelled(n, seed):
