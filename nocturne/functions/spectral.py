@@ -102,26 +102,34 @@ def lempel_ziv(x: np.ndarray, fs: float = 1.0) -> dict[str, float]:
     return {"lempel_ziv": phrases * math.log2(n) / n if n > 1 else math.nan}
 
 
+def strided(x: np.ndarray, most: int = 5000) -> np.ndarray:
+    """The whole signal, at a stride that leaves about ``most`` samples of it."""
+    return x[:: len(x) // most] if len(x) > most else x
+
+
 def sample_entropy(x: np.ndarray, fs: float = 1.0, m: int = 2, r: float = 0.2) -> dict[str, float]:
-    """-log of the share of template matches that last one sample longer; tolerance r times the deviation, strict."""
-    x = x[:1000]
+    """-log of the share of template matches that last one sample longer; tolerance r times the deviation, strict.
+
+    Long signals are taken at a stride over their whole length.
+    """
+    x = strided(x)
     limit, n = r * x.std(), len(x) - m
     if n < 2 or limit == 0:
         return {"sample_entropy": math.nan}
-
-    def matches(size: int) -> int:
-        t = np.lib.stride_tricks.sliding_window_view(x, size)[:n]
-        count = 0
-        for i in range(n - 1):
-            count += int((np.abs(t[i + 1 :] - t[i]).max(axis=1) < limit).sum())
-        return count
-
-    b, a = matches(m), matches(m + 1)
-    return {"sample_entropy": -math.log(a / b) if a and b else math.nan}
+    short = longer = 0
+    for lag in range(1, n):  # pairs of templates that lie ``lag`` apart, for all places at once
+        near = np.abs(x[lag:] - x[:-lag]) < limit
+        both = near[: n - lag].copy()
+        for k in range(1, m):
+            both &= near[k : k + n - lag]
+        short += int(both.sum())
+        longer += int((both & near[m : m + n - lag]).sum())
+    return {"sample_entropy": -math.log(longer / short) if longer and short else math.nan}
 
 
 def approximate_entropy(x: np.ndarray, fs: float = 1.0, m: int = 2, r: float = 0.2) -> dict[str, float]:
-    x = x[:1000]
+    """Drop of the mean log share of templates within the tolerance, from m to m + 1 samples; long signals at a stride over their whole length."""
+    x = strided(x)
     limit = r * x.std()
 
     def phi(size: int) -> float:
@@ -153,17 +161,39 @@ def notch(freq: float, fs: float, q: float = 30.0) -> list[tuple[np.ndarray, np.
     return [(beta * np.array([1.0, -2 * math.cos(w), 1.0]), np.array([1.0, -2 * beta * math.cos(w), 2 * beta - 1]))]
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One second-order section, started in the steady state of the first sample."""
+def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 128) -> np.ndarray:
+    """One second-order section, started in the steady state of the first sample.
+
+    The state (z1, z2) goes on from block to block: within a block the output is a
+    triangular matrix times the block plus a matrix times the state at its start.
+    """
     total = b.sum() / a.sum()
-    z1, z2 = (total - b[0]) * x[0], (b[2] - a[2] * total) * x[0]
-    out = np.empty_like(x)
-    b0, b1, b2, a1, a2 = b[0], b[1], b[2], a[1], a[2]
-    for i, v in enumerate(x):
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[i] = y
+    state = np.array([(total - b[0]) * x[0], (b[2] - a[2] * total) * x[0]])
+    # y = b0 v + z1; z1' = (b1 - a1 b0) v - a1 z1 + z2; z2' = (b2 - a2 b0) v - a2 z1
+    move, feed = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    n = len(x)
+    block = min(block, n)
+    powers = np.empty((block + 1, 2, 2))  # of move
+    powers[0] = np.eye(2)
+    for i in range(block):
+        powers[i + 1] = powers[i] @ move
+    response = np.concatenate(([b[0]], powers[: block - 1, 0, :] @ feed))
+    at = np.arange(block)
+    inner = np.where(at[:, None] >= at[None, :], response[np.maximum(at[:, None] - at[None, :], 0)], 0.0)
+    whole = n // block
+    out = np.empty(n)
+    if whole:
+        parts = x[: whole * block].reshape(whole, block)
+        own = parts @ inner.T
+        gain = parts @ (powers[block - 1 - at] @ feed)  # what a block adds to the state at its end
+        states = np.empty((whole, 2))
+        for k in range(whole):
+            states[k] = state
+            state = powers[block] @ state + gain[k]
+        out[: whole * block] = (own + states @ powers[:block, 0, :].T).reshape(-1)
+    rest = x[whole * block :]
+    if len(rest):
+        out[whole * block :] = inner[: len(rest), : len(rest)] @ rest + powers[: len(rest), 0, :] @ state
     return out
 
 

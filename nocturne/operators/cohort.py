@@ -10,6 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANGES = 64
+
+
+def running(df: DataFrame, value: str, sums: dict[str, str], down: bool = False) -> DataFrame:
+    """``df`` (a row for each distinct ``value``) with the running totals of columns before each row, in order of ``value``.
+
+    ``sums`` maps new names to columns.  The values are cut into RANGES ranges at
+    approximate quantiles; a window runs within a range, and a range's total is carried
+    over the table of ranges, so no task holds all values.
+    """
+    kind = df.schema[value].dataType.typeName()
+    cuts = df.select(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000)).first()[0] if kind in ("double", "float", "integer", "long", "short", "byte") or kind.startswith("decimal") else []
+    at = sum(((F.col(value) > F.lit(x)).cast("int") for x in sorted(set(cuts or []))), F.lit(0))
+    rows = df.withColumn("_range", at)
+    total = rows.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    order = Window.orderBy(F.desc("_range") if down else "_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = total.select("_range", *[F.coalesce(F.sum(f"_{n}").over(order), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy("_range").orderBy(F.desc(value) if down else value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    rows = rows.join(F.broadcast(base), "_range")  # a row for each range
+    return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def summary(c: str, prefix: str = "") -> list[Column]:
     """mean, std (0 for one value), median, min, max; p25, p75, iqr from 4 values on."""
     n = F.count(c)
@@ -116,8 +139,12 @@ def auroc(df: DataFrame, y: str, score: str, groups: list[str] = ()) -> DataFram
     """
     g = list(groups)
     v = df.groupBy(*g, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    v = v.withColumn("_wins", F.col("_p") * (below + F.col("_n") / 2.0))
+    if g:
+        below = F.coalesce(F.sum("_n").over(Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        v = v.withColumn("_below", below)
+    else:
+        v = running(v, score, {"_below": "_n"})
+    v = v.withColumn("_wins", F.col("_p") * (F.col("_below") + F.col("_n") / 2.0))
     out = v.groupBy(*g).agg(F.try_divide(F.sum("_wins"), F.sum("_p").cast("double") * F.sum("_n")).alias("auroc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     return out
 
@@ -125,8 +152,8 @@ def auroc(df: DataFrame, y: str, score: str, groups: list[str] = ()) -> DataFram
 def auprc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Average precision: precision at each distinct score, weighted by the step of recall."""
     v = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count(F.lit(1)).alias("_k"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("_precision", F.sum("_p").over(w) / F.sum("_k").over(w))
+    v = running(v, score, {"_above": "_p", "_rows": "_k"}, down=True)
+    v = v.withColumn("_precision", (F.col("_above") + F.col("_p")) / (F.col("_rows") + F.col("_k")))
     return v.agg((F.sum(F.col("_precision") * F.col("_p")) / F.sum("_p")).alias("auprc"))
 
 
@@ -182,12 +209,17 @@ def calibration(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
     return out.withColumn("gap", F.abs(F.col("confidence") - F.col("rate")))
 
 
+def with_mid_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the mid-rank of ``value``, from counts by distinct value joined back."""
+    v = running(df.groupBy(value).agg(F.count(F.lit(1)).alias("_k")), value, {"_before": "_k"})
+    return df.join(v.select(value, (F.col("_before") + (F.col("_k") + 1) / 2.0).alias(name)), value)
+
+
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, rank_sum) with mid-ranks over all rows: what Mann-Whitney and Kruskal-Wallis need."""
     v = df.groupBy(value, group).agg(F.count(F.lit(1)).alias("_k"))
     total = v.groupBy(value).agg(F.sum("_k").alias("_t"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    total = total.withColumn("_mid", F.coalesce(F.sum("_t").over(w), F.lit(0)) + (F.col("_t") + 1) / 2.0)
+    total = running(total, value, {"_before": "_t"}).withColumn("_mid", F.col("_before") + (F.col("_t") + 1) / 2.0)
     return v.join(total, value).groupBy(group).agg(F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("_mid")).alias("rank_sum"))
 
 

@@ -110,41 +110,57 @@ def event_measures(segments: DataFrame, events: DataFrame, key: str, types: list
     return out.select(key, "segment_idx", *columns)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
-    """For each left row the value of the last right row at or before it, null if there is none; equal times: the greatest value."""
-    a = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    b = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_t", "_side", "_v")
+def _nearest_point(left: DataFrame, points: DataFrame, key: str, at: str, value: Column, out: str, width: float, forward: bool) -> DataFrame:
+    """``left`` with ``out``: value of the point nearest to ``at``, behind it (or at it) or, if ``forward``, ahead.
 
+    ``points`` has the key and _t; ``value`` is of these, and of points at one time behind it the
+    greatest counts.  Time is cut into buckets of ``width``.  The scan is over the rows of a
+    bucket, and what reaches beyond comes from the buckets, of which a key has few.
+    """
+    a = left.select("*", F.col(at).alias("_t"), F.lit(1).alias("_side"))
+    b = points.select(key, "_t", F.lit(0).alias("_side"), F.struct("_t", value.alias("v")).alias("_e"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_t") / width))
+    w = Window.partitionBy(key, "_bucket")
+    if forward:  # equal times count, so points come before the rows that look ahead only from their far side
+        near = F.first("_e", ignorenulls=True).over(w.orderBy("_t", F.desc("_side"), F.desc("_e")).rowsBetween(0, Window.unboundedFollowing))
+        pick, beyond = F.min("_e"), Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+        far = F.first("_p", ignorenulls=True).over(beyond)
+    else:
+        near = F.last("_e", ignorenulls=True).over(w.orderBy("_t", "_side", "_e").rowsBetween(Window.unboundedPreceding, 0))
+        pick, beyond = F.max("_e"), Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        far = F.last("_p", ignorenulls=True).over(beyond)
+    per = both.groupBy(key, "_bucket").agg(pick.alias("_p")).select(key, "_bucket", far.alias("_far"))
+    found = both.withColumn("_near", near).where("_side = 1").join(per, [key, "_bucket"])
+    return found.withColumn(out, F.coalesce("_near", "_far")["v"]).select(*left.columns, out)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, out: str, clip: bool = True, width: float = 86_400.0) -> DataFrame:
+    """For each left row the value of the last right row at or before it; equal times: the greatest value.
+
+    With ``clip`` rows before the first right row of their key have that row's value, else null.
+    ``width`` is the length of the buckets that the scan is cut into.
+    """
+    found = _nearest_point(left, right.select(key, F.col(right_time).alias("_t"), value), key, left_time, F.col(value), out, width, forward=False)
+    if not clip:
+        return found
+    first = right.groupBy(key).agg(F.max(F.struct((-F.col(right_time)).alias("t"), F.col(value).alias("v")))["v"].alias("_first"))
+    return found.join(first, key, "left").withColumn(out, F.coalesce(out, "_first")).drop("_first")
 
-def nearest_events(segments: DataFrame, events: DataFrame, key: str, cap: float, touching: DataFrame) -> DataFrame:
+
+def nearest_events(segments: DataFrame, events: DataFrame, key: str, cap: float, touching: DataFrame, width: float = 86_400.0) -> DataFrame:
     """(key, segment_idx, next_dist, prev_dist): seconds from the end to the next start and from the start back to the last end.
 
     Without such an event the distance is 0 if an event overlaps the segment
     (``touching`` has its key and index) and ``cap`` if none does; at most ``cap``.
     """
     seg = segments.select(key, "segment_idx", "start_sec", "end_sec")
-
-    def scan(time: str, mark: str, edge: str, forward: bool) -> DataFrame:
-        a = seg.select(key, "segment_idx", F.col(edge).alias("_t"), F.lit(None).cast("double").alias("_e"))
-        b = events.select(key, F.lit(None).cast("int").alias("segment_idx"), F.col(time).alias("_t"), F.col(time).alias("_e"))
-        w = Window.partitionBy(key)
-        # Equal times count, so an event comes before the segment edge in scan order.
-        if forward:
-            w = w.orderBy("_t", F.col("_e").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-            found = F.first("_e", ignorenulls=True).over(w) - F.col("_t")
-        else:
-            w = w.orderBy("_t", F.col("_e").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-            found = F.col("_t") - F.last("_e", ignorenulls=True).over(w)
-        return a.unionByName(b).withColumn(mark, found).where("segment_idx is not null").select(key, "segment_idx", mark)
-
-    ahead, behind = scan("start_sec", "next_dist", "end_sec", True), scan("end_sec", "prev_dist", "start_sec", False)
+    ahead = _nearest_point(seg, events.select(key, F.col("start_sec").alias("_t")), key, "end_sec", F.col("_t"), "_next", width, forward=True)
+    both = _nearest_point(ahead, events.select(key, F.col("end_sec").alias("_t")), key, "start_sec", F.col("_t"), "_prev", width, forward=False)
     held = touching.select(key, "segment_idx").distinct().withColumn("_held", F.lit(True))
-    out = seg.join(ahead, [key, "segment_idx"]).join(behind, [key, "segment_idx"]).join(held, [key, "segment_idx"], "left")
     none = F.when(F.col("_held"), 0.0).otherwise(float(cap))
-    return out.select(key, "segment_idx", *[F.least(F.coalesce(c, none), F.lit(float(cap))).alias(c) for c in ("next_dist", "prev_dist")])
+    far = lambda c: F.least(F.coalesce(c, none), F.lit(float(cap)))
+    out = both.join(held, [key, "segment_idx"], "left")
+    return out.select(key, "segment_idx", far(F.col("_next") - F.col("end_sec")).alias("next_dist"), far(F.col("start_sec") - F.col("_prev")).alias("prev_dist"))
 
 
 def band_counts(rows: DataFrame, at: str, gap: int, sums: dict[str, Column]) -> DataFrame:

@@ -12,9 +12,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_medians(df: DataFrame, columns: list[str], most: int = 1_000_000) -> dict[str, float | None]:
+    """Median of each column, exact: the values about it are cut narrower until at most ``most`` are left to sort.
+
+    Each pass counts the values below and within the bounds of every column at once and
+    takes new bounds from approximate quantiles of those within; a bound is a value of the
+    column, so the rank within the bounds is known exactly.
+    """
+    bounds: dict[str, tuple] = {c: (None, None) for c in columns}
+    within = lambda c: (F.lit(True) if bounds[c][0] is None else F.col(c) >= F.lit(bounds[c][0])) & (F.lit(True) if bounds[c][1] is None else F.col(c) <= F.lit(bounds[c][1]))
+    while True:
+        aggs = []
+        for c in columns:
+            aggs += [F.count(c).alias(f"{c}|n"), F.count(F.when(within(c), F.col(c))).alias(f"{c}|k")]
+            aggs.append((F.lit(0) if bounds[c][0] is None else F.count_if(F.col(c) < F.lit(bounds[c][0]))).alias(f"{c}|b"))
+            aggs += [F.percentile_approx(F.when(within(c), F.col(c)), [0.0, *[i / 100 for i in range(1, 100)], 1.0], 10_000).alias(f"{c}|q")]
+        s = df.agg(*aggs).first()
+        wide = False
+        for c in columns:
+            n, k, below, q = (s[f"{c}|{x}"] for x in "nkbq")
+            if k > most and q[0] < q[-1]:
+                rank = (n - 1) / 2 - below  # of the median within the bounds
+                low, high = q[max(0, int(100 * rank / k) - 1)], q[min(100, int(100 * rank / k) + 2)]
+                if (low, high) != bounds[c]:
+                    bounds[c], wide = (low, high), True
+        if not wide:
+            break
+    exact = df.agg(*[F.sort_array(F.collect_list(F.when(within(c), F.col(c)))).alias(c) if s[f"{c}|k"] <= most else F.array(F.min(F.when(within(c), F.col(c)))).alias(c) for c in columns]).first()
+    out: dict[str, float | None] = {}
+    for c in columns:
+        n, below, values = s[f"{c}|n"], s[f"{c}|b"], exact[c]
+        pick = lambda r: values[min(max(r - below, 0), len(values) - 1)]  # noqa: B023, E731
+        out[c] = (pick((n - 1) // 2) + pick(n // 2)) / 2 if n else None
+    return out
+
+
 def impute_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact medians in place of nulls, then mean 0 and population deviation 1; one aggregation each."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
+    medians = exact_medians(df, columns)
     filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
     s = filled.agg(*[F.avg(c).alias(f"{c}|m") for c in columns], *[F.stddev_pop(c).alias(f"{c}|s") for c in columns]).first()
     return filled.withColumns({c: (F.col(c) - s[f"{c}|m"]) / (s[f"{c}|s"] or 1.0) for c in columns})

@@ -39,17 +39,54 @@ def join_with_fallback(a: DataFrame, b: DataFrame, key: str, a_id: Column, b_id:
     return out.withColumn(value, F.coalesce("_x", "_y")).withColumn("how", how).drop("_x", "_y", "_id")
 
 
-def best_files(subjects: DataFrame, files: DataFrame, key: str, least: int, weight: int) -> DataFrame:
-    """(key, fid, score): the file that shares most tokens with a subject, then the newest, largest, and least id.
+def cache_key(c: Column) -> Column:
+    """A name as part of a file name: separators as two underscores, colons and spaces as one."""
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("/"), F.lit("__")), F.lit(":"), F.lit("_")), F.lit(" "), F.lit("_"))
 
-    An inverted index of path tokens replaces the product of subjects and files.
+
+#: Points for a name that is part of a file's path, and for an id that the file itself holds.
+PATH_POINTS = {"pid": 100, "safe_pid": 100, "record": 80, "safe_record": 80, "bids": 40, "site": 10, "ses": 30, "session": 5}
+ID_POINTS = (200, 150, 120, 80)
+LEAST_SCORE = 70
+
+
+def score_files(subjects: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, fid, mtime, size, score) of all pairs with LEAST_SCORE points or more.
+
+    ``subjects`` has site, bids and session beside the key, ``files`` fid, path, ids (array),
+    mtime and size.  Without the subject's folder name (bids) in the path or in an id a pair
+    has 45 points at most, so that name finds the pairs: the paths and ids are cut into the
+    pieces of the lengths that such names have, and pieces and names join on equality.  The
+    points are then worked out for these pairs alone.
     """
-    tokens = F.array_distinct(F.array_remove(F.split(F.lower("path"), "[^a-z0-9]+"), ""))
-    index = files.select("fid", "size", "mtime", F.explode(tokens).alias("token"))
-    wanted = subjects.select(key, F.explode("tokens").alias("token"))
-    scored = wanted.join(index, "token").groupBy(key, "fid", "size", "mtime").agg((F.count(F.lit(1)) * weight).alias("score")).where(F.col("score") >= least)
+    record = F.concat("bids", F.lit("_ses-"), "session")
+    pid = F.concat("site", F.lit("/"), record)
+    who = subjects.select(key, "site", "bids", "session", record.alias("record"), pid.alias("pid"), F.lower(cache_key(F.col("bids"))).alias("name"))
+    lengths = [r[0] for r in who.select(F.char_length("name")).distinct().collect() if r[0]]  # as many as names have lengths
+    text = F.lower(cache_key(F.col("path")))
+    near = files.select("fid", "mtime", "size", "ids", text.alias("text"), F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.lower(cache_key(x))).alias("held"))
+    sources = F.explode(F.array_append(F.col("held"), F.col("text")))
+    cut = near.select("fid", sources.alias("source")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")))
+    cut = cut.where("char_length(source) >= n").select("fid", "n", "source", F.explode(F.sequence(F.lit(1), F.char_length("source") - F.col("n") + 1)).alias("at"))
+    pieces = cut.select("fid", F.substring("source", F.col("at"), F.col("n")).alias("name")).distinct()
+    pairs = pieces.join(who, "name").join(near.drop("held"), "fid")
+    inside = {"pid": F.col("pid"), "safe_pid": F.col("pid"), "record": F.col("record"), "safe_record": F.col("record"), "bids": F.col("bids"), "site": F.col("site"), "ses": F.concat(F.lit("ses-"), "session"), "session": F.col("session")}
+    own = lambda c: (F.length(c) > 0) & (F.contains("text", F.lower(cache_key(c))) | F.contains("text", F.lower(c)))
+    path = sum((F.when(own(inside[k]), p).otherwise(0) for k, p in PATH_POINTS.items()), F.lit(0))
+    exact, by_record, within, both = ID_POINTS
+    points = lambda x: (
+        F.when(x == F.col("pid"), exact).when(x == F.col("record"), by_record).when(F.contains(x, F.col("record")), within)
+        .when(F.contains(x, F.col("bids")) & F.contains(x, F.col("session")), both).otherwise(0)
+    )
+    held = F.aggregate(F.coalesce("ids", F.array().cast("array<string>")), F.lit(0), lambda s, x: s + points(x))
+    scored = pairs.select(key, "fid", "mtime", "size", (path + held).alias("score"))
+    return scored.where(F.col("score") >= LEAST_SCORE)
+
+
+def best_files(subjects: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, fid, score): the file with most points, then the newest, the largest, and that with the least id."""
     best = F.max(F.struct("score", "mtime", "size", (-F.col("fid")).alias("back"))).alias("b")
-    return scored.groupBy(key).agg(best).select(key, (-F.col("b.back")).alias("fid"), F.col("b.score").alias("score"))
+    return score_files(subjects, files, key).groupBy(key).agg(best).select(key, (-F.col("b.back")).alias("fid"), F.col("b.score").alias("score"))
 
 
 def resolve_aliases(channels: DataFrame, rules: DataFrame, record: str, label: str, position: str) -> DataFrame:

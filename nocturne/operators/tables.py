@@ -24,19 +24,26 @@ def importance(df: DataFrame, feature: str, value: str) -> DataFrame:
     return out.withColumn("cumulative", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def profile(df: DataFrame, most_null: float, least_distinct: int = 2) -> DataFrame:
-    """(column_name, n_distinct, null_share, kept) of every column, in one aggregation over the table."""
+def profile(df: DataFrame, most_null: float, count_distinct: bool = False) -> DataFrame:
+    """(column_name, constant, null_share, kept) of every column, in one aggregation over the table.
+
+    A column is constant if its least and greatest values are equal, which takes one pass
+    without a shuffle of the values.  ``count_distinct`` adds n_distinct, which does shuffle
+    them, a row for each column of each row.
+    """
     aggs = []
     for c in df.columns:
         x = F.col(c)
         kind = df.schema[c].dataType.typeName()
         if kind in ("double", "float"):
             x = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-        aggs += [F.count_distinct(x).alias(f"{c}|d"), F.count(x).alias(f"{c}|n")]
+        aggs += [F.min(x).eqNullSafe(F.max(x)).alias(f"{c}|c"), F.count(x).alias(f"{c}|n")]
+        if count_distinct:
+            aggs.append(F.count_distinct(x).alias(f"{c}|d"))
     one = df.agg(F.count(F.lit(1)).alias("_all"), *aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}|d`").alias("n_distinct"), (1 - F.col(f"`{c}|n`") / F.col("_all")).alias("null_share")) for c in df.columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}|c`").alias("constant"), *([F.col(f"`{c}|d`").alias("n_distinct")] if count_distinct else []), (1 - F.col(f"`{c}|n`") / F.col("_all")).alias("null_share")) for c in df.columns])
     out = one.select(F.explode(rows).alias("r")).select("r.*")
-    return out.withColumn("kept", (F.col("n_distinct") >= least_distinct) & (F.col("null_share") <= most_null))
+    return out.withColumn("kept", ~F.col("constant") & (F.col("null_share") <= most_null))
 
 
 def clean_columns(df: DataFrame, most_null: float, always: tuple[str, ...] = ()) -> DataFrame:

@@ -289,9 +289,7 @@ def spearman(spark, sf):
     """Rank correlations; ranks come from counts by distinct value, joined back."""
     rows = t(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax")
     for c in rows.columns:
-        v = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
-        before = F.coalesce(F.sum("_k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.join(v.select(c, (before + (F.col("_k") + 1) / 2.0).alias(f"r_{c}")), c)
+        rows = C.with_mid_rank(rows, c, f"r_{c}")
     a, b, c = "r_l_quantity", "r_l_discount", "r_l_tax"
     return rows.agg(r6(F.corr(a, b)).alias("q_d"), r6(F.corr(a, c)).alias("q_t"), r6(F.corr(b, c)).alias("d_t"))
 

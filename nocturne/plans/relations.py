@@ -96,22 +96,40 @@ def outer_importance(spark, sf):
 FILES = "SELECT p_partkey AS fid, lower(p_brand) || '/' || replace(lower(p_name), ' ', '_') || '.parquet' AS path, p_size AS size, p_retailprice AS mtime FROM part"
 
 
+FILES = """f AS (SELECT p_partkey AS fid, CASE p_partkey % 4 WHEN 0 THEN 'S' || (p_partkey % 7) || '/' ELSE 'x/' END || CASE p_partkey % 3 WHEN 0 THEN 'Sub-' || (p_partkey % 211) || '_ses-' || (p_partkey % 5) WHEN 1 THEN 'sub-' || (p_partkey % 53) ELSE p_name END || '.parquet' AS path,
+  p_size AS size, p_retailprice AS mtime, CASE p_partkey % 6 WHEN 2 THEN ['S' || (p_partkey % 3) || '/Sub-' || (p_partkey % 97) || '_ses-' || (p_partkey % 2)] WHEN 5 THEN ['old Sub-' || (p_partkey % 31) || '_ses-1'] ELSE [] END AS ids FROM part)"""
+SUBJECTS = """s AS (SELECT s_suppkey, 'S' || (s_suppkey % 3) AS site, 'Sub-' || (s_suppkey % 101) AS bids, CAST(s_suppkey % 2 AS VARCHAR) AS session FROM supplier),
+r AS (SELECT *, bids || '_ses-' || session AS record, site || '/' || bids || '_ses-' || session AS pid FROM s)"""
+
+
+def _key(c: str) -> str:
+    return f"replace(replace(replace({c}, '/', '__'), ':', '_'), ' ', '_')"
+
+
+POINTS = " + ".join(
+    f"CASE WHEN contains(text, lower({_key(c)})) OR contains(text, lower({c})) THEN {p} ELSE 0 END"
+    for c, p in (("pid", 100), (_key("pid"), 100), ("record", 80), (_key("record"), 80), ("bids", 40), ("site", 10), ("('ses-' || session)", 30), ("session", 5))
+)
+
+
 @query(
     "fuzzy_match_best",
-    f"""WITH f AS ({FILES}), n AS (SELECT fid, path, size, mtime, unnest(list_distinct(list_filter(regexp_split_to_array(path, '[^a-z0-9]+'), lambda x: x <> ''))) AS token FROM f),
-s AS (SELECT s_suppkey, unnest(list_distinct(['brand', CAST(10 + s_suppkey % 50 AS VARCHAR), CAST(s_nationkey AS VARCHAR)])) AS token FROM supplier),
-m AS (SELECT s_suppkey, fid, sum(CASE WHEN token = 'brand' THEN 40 ELSE 40 END) AS score, any_value(mtime) AS mtime, any_value(size) AS size FROM s JOIN n USING (token) GROUP BY ALL HAVING sum(40) >= 70),
-r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, mtime DESC, size DESC, fid) AS rn FROM m)
-SELECT s_suppkey, fid, CAST(score AS BIGINT) AS score FROM r WHERE rn = 1""",
+    f"""WITH {FILES}, {SUBJECTS}, t AS (SELECT *, lower({_key("path")}) AS text FROM f),
+m AS (SELECT s_suppkey, fid, mtime, size, {POINTS} + coalesce(list_sum(list_transform(ids, lambda x: CASE WHEN x = pid THEN 200 WHEN x = record THEN 150 WHEN contains(x, record) THEN 120 WHEN contains(x, bids) AND contains(x, session) THEN 80 ELSE 0 END)), 0) AS score FROM r, t),
+b AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, mtime DESC, size DESC, fid) AS rn FROM m WHERE score >= 70)
+SELECT s_suppkey, fid, CAST(score AS BIGINT) AS score FROM b WHERE rn = 1""",
 )
 def fuzzy_match_best(spark, sf):
-    """Best file of each subject by shared path tokens, then by time, size and id: an equi-join on tokens, no cross join."""
-    files = t(spark, sf, "part").select(
-        F.col("p_partkey").alias("fid"), F.concat(F.lower("p_brand"), F.lit("/"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.lit(".parquet")).alias("path"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("mtime")
-    )
-    tokens = F.array_distinct(F.array(F.lit("brand"), (F.lit(10) + F.col("s_suppkey") % 50).cast("string"), F.col("s_nationkey").cast("string")))
-    subjects = t(spark, sf, "supplier").select("s_suppkey", tokens.alias("tokens"))
-    return M.best_files(subjects, files, "s_suppkey", least=70, weight=40).select("s_suppkey", "fid", "score")
+    """Best file of each subject by the points of its names in path and ids; the SQL forms all pairs."""
+    k, text = F.col("p_partkey"), lambda x: x.cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Sub-"), text(k % 211), F.lit("_ses-"), text(k % 5))).when(k % 3 == 1, F.concat(F.lit("sub-"), text(k % 53))).otherwise(F.col("p_name"))
+    path = F.concat(F.when(k % 4 == 0, F.concat(F.lit("S"), text(k % 7), F.lit("/"))).otherwise("x/"), name, F.lit(".parquet"))
+    ids = F.when(k % 6 == 2, F.array(F.concat(F.lit("S"), text(k % 3), F.lit("/Sub-"), text(k % 97), F.lit("_ses-"), text(k % 2))))
+    ids = F.coalesce(ids.when(k % 6 == 5, F.array(F.concat(F.lit("old Sub-"), text(k % 31), F.lit("_ses-1")))), F.array().cast("array<string>"))
+    files = t(spark, sf, "part").select(k.alias("fid"), path.alias("path"), ids.alias("ids"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("mtime"))
+    s = F.col("s_suppkey")
+    subjects = t(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("S"), text(s % 3)).alias("site"), F.concat(F.lit("Sub-"), text(s % 101)).alias("bids"), text(s % 2).alias("session"))
+    return M.best_files(subjects, files, "s_suppkey").select("s_suppkey", "fid", F.col("score").cast("long").alias("score"))
 
 
 @query("alias_rules", """WITH a AS (SELECT * FROM (VALUES ('hr', 'hr', 0), ('hr', 'pulse', 1), ('hr', 'pr', 2), ('spo2', 'spo2', 0), ('spo2', 'sao2', 1)) v(std, alias, pos)),
@@ -199,7 +217,7 @@ WIDE = "SELECT l_quantity AS q, l_discount AS d, CASE WHEN l_orderkey % 100 < 97
 def column_profile(spark, sf):
     """Distinct values and null share of every column in one pass, and which the cleanup keeps."""
     wide = t(spark, sf, "lineitem").selectExpr("l_quantity AS q", "l_discount AS d", "CASE WHEN l_orderkey % 100 < 97 THEN NULL ELSE l_tax END AS sparse", "1 AS constant", "CASE WHEN l_orderkey % 2 = 0 THEN l_tax END AS half")
-    return T.profile(wide, most_null=0.95).withColumn("null_share", r6("null_share"))
+    return T.profile(wide, most_null=0.95, count_distinct=True).drop("constant").withColumn("null_share", r6("null_share"))
 
 
 @query("clean_columns", f"SELECT q, d, half FROM ({WIDE})")

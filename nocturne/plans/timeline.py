@@ -124,10 +124,11 @@ def sleep_period_filter(spark, sf):
     f"""
 WITH {EV}, {SEG}, c AS (SELECT pid, segment_idx, start_sec + 43200 AS t FROM seg), e AS (
   SELECT pid, t, max(stage) AS stage FROM ev GROUP BY pid, t
-)
-SELECT c.pid, c.segment_idx, e.stage FROM c ASOF LEFT JOIN e ON c.pid = e.pid AND c.t >= e.t""",
+), f AS (SELECT pid, arg_min(stage, t) AS first_stage FROM e GROUP BY pid)
+SELECT c.pid, c.segment_idx, coalesce(e.stage, first_stage) AS stage FROM c ASOF LEFT JOIN e ON c.pid = e.pid AND c.t >= e.t LEFT JOIN f ON f.pid = c.pid""",
 )
 def asof_stage(spark, sf):
+    """The stage at the middle of each segment; before the first epoch, that of the first."""
     centres = seg(spark, sf).select("pid", "segment_idx", (F.col("start_sec") + 43200).alias("at"))
     return I.asof_backward(centres, ev(spark, sf), "pid", "at", "t", "stage", "stage").select("pid", "segment_idx", "stage")
 

@@ -7,9 +7,10 @@ gives the result as a table, which is how a bounded replay is tested.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,13 +52,29 @@ def run_lengths(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return df.select(key, at, value).groupBy(key).applyInPandasWithState(step, out, f"last {kinds[value]}, n int", "append", "NoTimeout")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="nocturne-stream-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def run_available(df: DataFrame, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """Drain the source (availableNow) into the shared folder's Parquet sink, or memory for modes files can't do."""
+    """Drain the source (availableNow) into Parquet in the shared folder and give it as a table.
+
+    Append mode uses the file sink; in complete mode each batch replaces the table.  The
+    checkpoint lies beside the table unless a folder is given.
+    """
     spark = df.sparkSession
-    name = f"replay_{uuid.uuid4().hex}"
-    writer = df.writeStream.queryName(name).format("memory").outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", f"{checkpoint}/{name}")
-    q = writer.start()
+    base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    schema, out = df.schema, f"{base}/table"
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
+    if mode == "append":
+        q = writer.format("parquet").option("path", out).start()
+    else:
+        spark.createDataFrame([], schema).write.parquet(out)
+        q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(out)
