@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from nocturne.functions import arrays as A
 from nocturne.functions import spectral
+from nocturne.operators import cardiac
 from nocturne.plans.base import EV, ev, t
 from nocturne.plans.registry import query
 
@@ -106,6 +107,31 @@ def rr_poincare(spark, sf):
     return rows.selectExpr("pid", "round(sqrt(vd / 2), 6) AS sd1", "round(sqrt(2 * vr - vd / 2), 6) AS sd2")
 
 
+@query("rr_hrv_full", RR + """, d AS (SELECT pid, list_transform(rr, lambda x: CAST(x AS DOUBLE)) AS rr, list_transform(range(2, len(rr) + 1), lambda i: CAST(rr[i] - rr[i - 1] AS DOUBLE)) AS d, list_transform(rr, lambda x: 60000e0 / x) AS hr FROM r WHERE len(rr) >= 10),
+h AS (SELECT pid, max(k) AS best FROM (SELECT pid, b, count(*) AS k FROM (SELECT pid, unnest(list_transform(rr, lambda x: least(floor((x - list_min(rr)) / 7.8125e0), greatest(1, ceil((list_max(rr) - list_min(rr) + 7.8125e0) / 7.8125e0) - 1) - 1))) AS b FROM d) GROUP BY ALL) GROUP BY pid)
+SELECT d.pid, CAST(len(rr) AS BIGINT) AS n, round(list_avg(rr), 5) AS mean_nn, round(list_median(rr), 5) AS median_nn, round(list_stddev_samp(rr), 5) AS sdnn, round(sqrt(list_avg(list_transform(d, lambda x: x * x))), 5) AS rmssd, round(list_stddev_samp(d), 5) AS sdsd,
+ round(100e0 * len(list_filter(d, lambda x: abs(x) > 50)) / len(d), 5) AS pnn50, round(100e0 * len(list_filter(d, lambda x: abs(x) > 20)) / len(d), 5) AS pnn20, round(list_stddev_samp(rr) / list_avg(rr), 5) AS cvnn, round(sqrt(list_avg(list_transform(d, lambda x: x * x))) / list_avg(rr), 5) AS cvsd,
+ round(len(rr) / best, 5) AS hti, round(list_avg(hr), 5) AS hr_mean, round(list_stddev_pop(hr), 5) AS hr_std, round(list_min(hr), 5) AS hr_min, round(list_max(hr), 5) AS hr_max, round(list_max(hr) - list_min(hr), 5) AS hr_range, round(list_median(hr), 5) AS hr_median FROM d JOIN h ON d.pid = h.pid""")
+def rr_hrv_full(spark, sf):
+    """All measures in time, the triangular index and the heart rate's among them."""
+    rows = rr(spark, sf).where("size(rr) >= 10").withColumn("rr", F.transform("rr", lambda x: x.cast("double")))
+    return rows.select("pid", *[(c if n == "n" else F.round(c, 5)).alias(n) for n, c in cardiac.hrv_time(F.col("rr")).items()])
+
+
+@query("rr_nonlinear", RR + """, d AS (SELECT *, list_var_samp(list_transform(range(2, len(rr) + 1), lambda i: rr[i] - rr[i - 1])) AS vd, list_var_samp(rr) AS vr FROM r WHERE len(rr) >= 10), s AS (SELECT pid, sqrt(vd / 2) AS a, CASE WHEN 2 * vr - vd / 2 >= 0 THEN sqrt(greatest(2 * vr - vd / 2, 0)) ELSE sqrt(vr) END AS b FROM d)
+SELECT pid, round(a, 5) AS sd1, round(b, 5) AS sd2, round(CASE WHEN b > 0 THEN a / b END, 5) AS sd1_sd2, round(CASE WHEN a > 0 THEN b / a END, 5) AS csi, round(CASE WHEN a > 0 AND b > 0 THEN log10(a * b) END, 5) AS cvi FROM s""")
+def rr_nonlinear(spark, sf):
+    rows = rr(spark, sf).where("size(rr) >= 10").withColumn("rr", F.transform("rr", lambda x: x.cast("double")))
+    return rows.select("pid", *[F.round(c, 5).alias(n) for n, c in cardiac.hrv_nonlinear(F.col("rr")).items()])
+
+
+@query("breathing_channel", "WITH c AS (SELECT user_id % 50 AS patient_id, event_type AS channel, count(*) FILTER (value > 50) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n DESC, channel) AS rn FROM c) SELECT patient_id, channel FROM r WHERE rn = 1 AND n > 0")
+def breathing_channel(spark, sf):
+    """The channel of each recording with most segments that have data."""
+    rows = t(spark, sf, "events").select((F.col("user_id") % 50).alias("patient_id"), F.col("event_type").alias("channel"), F.when(F.col("value") > 50, F.lit(1)).alias("data"))
+    return cardiac.breathing_channel(rows)
+
+
 @query("rr_artifacts", RR + """, g AS (SELECT pid, rr, coalesce(list_median(list_filter(rr, lambda x: x >= 300 AND x <= 2000)), 800) AS md FROM r), v AS (SELECT pid, list_transform(rr, lambda x: x >= 300 AND x <= 2000 AND abs(x - md) / md < 0.2) AS ok FROM g)
 SELECT pid, CAST(len(list_filter(ok, lambda x: x)) AS BIGINT) AS n_valid, round(100e0 * len(list_filter(ok, lambda x: NOT x)) / len(ok), 6) AS artifact_pct,
  CAST(list_max(list_transform(string_split(list_reduce(list_transform(ok, lambda x: CASE WHEN x THEN '1' ELSE '0' END), lambda p, q: p || q), '0'), lambda s: len(s))) AS BIGINT) AS longest_clean FROM v""")
