@@ -59,6 +59,28 @@ def spectral_entropy_sef(x: np.ndarray, fs: float) -> dict[str, float]:
     return {"entropy": float(-(positive * np.log2(positive)).sum() / np.log2(len(share))), "sef50": edge(0.5), "sef95": edge(0.95)}
 
 
+def sleep_bands(x: np.ndarray, fs: float) -> dict[str, float]:
+    """Slow-wave, slow and fast spindle power, prominence of the spindle band among its neighbours, and ratios of bands."""
+    f, p = welch(x, fs, int(4 * fs))
+    b = {n: band_power(f, p, *r) for n, r in BANDS.items()}
+    div = lambda a, c: a / c if c > 0 else math.nan
+    swa, beside = band_power(f, p, 0.5, 2.0), (b["theta"] + b["beta"]) / 2
+    slowing = div(b["delta"] + b["theta"], b["alpha"] + b["beta"])
+    return {
+        "swa_power": swa, "swa_power_log": math.log10(swa + 1e-10), "slow_spindle_power": band_power(f, p, 12.0, 14.0), "fast_spindle_power": band_power(f, p, 14.0, 16.0), "spindle_power_total": b["sigma"],
+        "spindle_prominence": b["sigma"] / (beside if beside > 0 else 1.0), "alpha_theta_ratio": div(b["alpha"], b["theta"]), "theta_alpha_ratio": div(b["theta"], b["alpha"]), "delta_alpha_ratio": div(b["delta"], b["alpha"]),
+        "delta_beta_ratio": div(b["delta"], b["beta"]), "slowing_ratio": slowing, "dar": b["delta"] / (b["alpha"] + 1e-10) if b["alpha"] > 0 else math.nan, "dtabr": slowing,
+    }
+
+
+def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing cut at 4 deviations, the ends mirrored with the edge sample repeated."""
+    half = int(4 * sigma + 0.5)
+    at = np.arange(-half, half + 1)
+    weight = np.exp(-0.5 * (at / sigma) ** 2)
+    return np.convolve(np.pad(x, half, mode="symmetric"), weight / weight.sum(), "valid") if len(x) else x
+
+
 def dfa(x: np.ndarray, fs: float = 1.0) -> dict[str, float]:
     """Exponent of the mean residual of linear fits against box size, 20 log-spaced sizes from 4 to n/4."""
     y = np.cumsum(x - x.mean())
@@ -263,7 +285,7 @@ def interpolate_gaps(x: np.ndarray, most: float = 0.1) -> np.ndarray | None:
 
 
 KERNELS = {
-    "psd_bandpower": psd_bandpower, "spectral_entropy_sef": spectral_entropy_sef, "dfa": dfa, "higuchi": higuchi, "lempel_ziv": lempel_ziv,
+    "psd_bandpower": psd_bandpower, "spectral_entropy_sef": spectral_entropy_sef, "sleep_bands": sleep_bands, "dfa": dfa, "higuchi": higuchi, "lempel_ziv": lempel_ziv,
     "sample_entropy": sample_entropy, "approximate_entropy": approximate_entropy, "band_phase": band_phase,
 }
 _PROBE = np.sin(np.arange(64) * 0.7) + np.cos(np.arange(64) * 0.13)

@@ -162,5 +162,40 @@ def _kernel(name):
     return run
 
 
+#: The spectrum of 64 samples at 64 Hz: one Hann window, p[k + 1] is the density at k Hz.
+PSD = """s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS a FROM embeddings), c AS (SELECT vec_id, list_transform(range(0, 64), lambda n: (a[n + 1] - list_avg(a)) * (0.5 - 0.5 * cos(2 * pi() * n / 64))) AS w FROM s),
+psd AS (SELECT vec_id, list_transform(range(0, 33), lambda k: (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) * (pow(list_sum(list_transform(range(0, 64), lambda n: w[n + 1] * cos(2 * pi() * k * n / 64))), 2) + pow(list_sum(list_transform(range(0, 64), lambda n: w[n + 1] * sin(2 * pi() * k * n / 64))), 2)) / (64 * 24e0)) AS p FROM c)"""
+
+
+def _power(low: int, high: int) -> str:
+    """Trapezoid rule from ``low`` to ``high`` Hz."""
+    return f"(list_sum(p[{low + 1}:{high + 1}]) - (p[{low + 1}] + p[{high + 1}]) / 2)"
+
+
+_EDGES = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 12), "sigma": (12, 16), "beta": (16, 30)}
+_B = {b: _power(*e) for b, e in _EDGES.items()}
+_SIZES = ", ".join(str(n) for n in sorted({int(4 * 4 ** (i / 19) + 1e-9) for i in range(20)}))
+_LISTS = "s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS a FROM embeddings)"
+
+_SQL = {
+    "psd_bandpower": f"WITH {PSD} SELECT vec_id, " + ", ".join(f"round({v}, 6) AS {b}_abs, round({v} / {_power(1, 32)}, 6) AS {b}_rel" for b, v in _B.items())
+    + f", round({_power(1, 32)}, 6) AS total, CAST(list_position(p[2:33], list_max(p[2:33])) AS DOUBLE) AS peak_hz, round(list_sum(list_transform(range(1, 33), lambda k: k * p[k + 1])) / list_sum(p[2:33]), 6) AS centroid FROM psd",
+    "spectral_entropy_sef": f"WITH {PSD}, q AS (SELECT vec_id, p[2:33] AS p, list_sum(p[2:33]) AS t FROM psd), e AS (SELECT *, list_transform(range(1, 33), lambda k: list_sum(p[1:k]) - (p[1] + p[k]) / 2) AS cum FROM q) SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x / t * log2(x / t))) / log2(32), 6) AS entropy, "
+    + ", ".join(f"CAST(list_filter(range(1, 33), lambda k: cum[k] >= {q} * cum[32])[1] AS DOUBLE) AS sef{n}" for q, n in ((0.5, 50), (0.95, 95))) + " FROM e",
+    "sleep_bands": f"""WITH {PSD} SELECT vec_id, round({_power(1, 2)}, 6) AS swa_power, round(log10({_power(1, 2)} + 1e-10), 6) AS swa_power_log, round({_power(12, 14)}, 6) AS slow_spindle_power, round({_power(14, 16)}, 6) AS fast_spindle_power, round({_B['sigma']}, 6) AS spindle_power_total,
+ round({_B['sigma']} / (({_B['theta']} + {_B['beta']}) / 2), 6) AS spindle_prominence, round({_B['alpha']} / {_B['theta']}, 6) AS alpha_theta_ratio, round({_B['theta']} / {_B['alpha']}, 6) AS theta_alpha_ratio, round({_B['delta']} / {_B['alpha']}, 6) AS delta_alpha_ratio, round({_B['delta']} / {_B['beta']}, 6) AS delta_beta_ratio,
+ round(({_B['delta']} + {_B['theta']}) / ({_B['alpha']} + {_B['beta']}), 6) AS slowing_ratio, round({_B['delta']} / ({_B['alpha']} + 1e-10), 6) AS dar, round(({_B['delta']} + {_B['theta']}) / ({_B['alpha']} + {_B['beta']}), 6) AS dtabr FROM psd""",
+    "sample_entropy": f"""WITH {_LISTS}, x AS (SELECT vec_id, a, 0.2 * list_stddev_pop(a) AS r FROM s), q AS (SELECT vec_id, count(*) AS b, count(*) FILTER (abs(a[i + 2] - a[j + 2]) < r) AS c FROM x, range(1, 63) u(i), range(1, 63) v(j) WHERE i < j AND abs(a[i] - a[j]) < r AND abs(a[i + 1] - a[j + 1]) < r GROUP BY vec_id)
+SELECT x.vec_id, CASE WHEN b > 0 AND c > 0 THEN round(-ln(c / b), 6) END AS sample_entropy FROM x LEFT JOIN q ON q.vec_id = x.vec_id""",
+    "approximate_entropy": f"""WITH {_LISTS}, x AS (SELECT vec_id, a, 0.2 * list_stddev_pop(a) AS r FROM s), p2 AS (SELECT vec_id, i, count(*) / 63 AS f FROM x, range(1, 64) u(i), range(1, 64) v(j) WHERE abs(a[i] - a[j]) <= r AND abs(a[i + 1] - a[j + 1]) <= r GROUP BY ALL),
+p3 AS (SELECT vec_id, i, count(*) / 62 AS f FROM x, range(1, 63) u(i), range(1, 63) v(j) WHERE abs(a[i] - a[j]) <= r AND abs(a[i + 1] - a[j + 1]) <= r AND abs(a[i + 2] - a[j + 2]) <= r GROUP BY ALL), m2 AS (SELECT vec_id, avg(ln(f)) AS m FROM p2 GROUP BY 1), m3 AS (SELECT vec_id, avg(ln(f)) AS m FROM p3 GROUP BY 1)
+SELECT vec_id, round(m2.m - m3.m, 6) AS approx_entropy FROM m2 JOIN m3 USING (vec_id)""",
+    "higuchi": f"""WITH {_LISTS}, l AS (SELECT vec_id, k, m, list_transform(range(1, CAST((63 - m) // k AS BIGINT) + 1), lambda i: abs(a[m + i * k + 1] - a[m + (i - 1) * k + 1])) AS d FROM s, range(1, 11) u(k), range(0, 10) v(m) WHERE m < k),
+o AS (SELECT vec_id, k, avg(list_sum(d) * 63e0 / (len(d) * k) / k) AS l FROM l WHERE len(d) > 0 GROUP BY ALL) SELECT vec_id, round(regr_slope(ln(l), ln(1e0 / k)), 6) AS higuchi_fd FROM o WHERE l > 0 GROUP BY vec_id""",
+    "dfa": f"""WITH {_LISTS}, y AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(list_transform(range(1, 65), lambda k: list_sum(list_transform(a[1:k], lambda x: x - list_avg(a))))) AS y FROM s), z AS (SELECT unnest([{_SIZES}]) AS n),
+b AS (SELECT vec_id, n, i // n AS box, sqrt(greatest((regr_syy(y, i) - CASE WHEN regr_sxx(y, i) > 0 THEN pow(regr_sxy(y, i), 2) / regr_sxx(y, i) ELSE 0 END) / n, 0)) AS e FROM y, z WHERE i < 64 // n * n GROUP BY vec_id, n, i // n), m AS (SELECT vec_id, n, avg(e) AS e FROM b GROUP BY ALL)
+SELECT vec_id, CASE WHEN count(*) FILTER (e > 0) >= 4 THEN round(regr_slope(ln(e), ln(n)) FILTER (e > 0), 6) END AS dfa FROM m GROUP BY vec_id""",
+}
+
 for _name in spectral.SCHEMAS:
-    query(_name)(_kernel(_name))
+    query(_name, _SQL.get(_name))(_kernel(_name))

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from nocturne.plans import arrays, cap, cohort, models, relations, scalars, stats, streams, timeline  # noqa: F401
+    from nocturne.plans import arrays, cap, cohort, features, models, relations, scalars, stats, streams, timeline  # noqa: F401
