@@ -12,13 +12,13 @@ grade 0, and a toxic one has grade 1, 2 or 3 by how many of its words are distin
 with the limits GRADES.
 
 Training reads a bounded sample: at most SAMPLE documents of either label, those with the
-least hashes of their ids.  Scoring reads every document whole.
+least hashes of their ids, and one text of each id, the first in sort order.  Scoring reads every document whole.
 
 Defined results: null or blank text has no feature and the severity of the intercept;
 labels without a document, null labels and null ids are not trained on; of several labels
 of one document the greatest counts; if a label is missing altogether no text is toxic;
-equal rows have equal results; an empty table gives an empty result; other columns are
-ignored.
+equal rows have equal results; a text of any length is read whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("toxic = 1").orderBy(*order).limit(sample).unionByName(marks.where("toxic = 0").orderBy(*order).limit(sample))
-    taken = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+    taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    taken = materialize(taken, "sample")
     totals = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 41.0, 42.0]))

@@ -189,6 +189,8 @@ def test_toxicity_on_held_out_rows(spark):
     counts = {i: sum(w in "idiot scum worthless vequsse veququ loweiein loweisch".split() for w in t.split()) for i, t, _ in held}
     many, few = [got[i].severity for i, n in counts.items() if n >= 7], [got[i].severity for i, n in counts.items() if 1 <= n <= 2]
     assert np.mean(many) > np.mean(few) + 0.5
+    doubled = toxicity.train(docs.unionByName(docs).unionByName(docs.limit(9)), labels)  # repeated ids are one document each
+    assert np.array_equal(doubled.keys, model.keys) and np.allclose(doubled.weights, model.weights)
     none = toxicity.train(docs.where("toxic = 0"), labels)
     assert not any(r.toxic for r in toxicity.toxicity(df, none).collect())
     assert toxicity.toxicity(df.limit(0), model).count() == 0
