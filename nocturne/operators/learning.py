@@ -58,10 +58,10 @@ def impute_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Fold of each row: rows of a class in hashed order go round the folds.
 
-    The order is taken within 64 hash buckets of a class, so a large class is no single task.
+    The order is taken within 64 buckets of the hash, so a large class is no single task.
     """
-    h = F.xxhash64(F.lit(seed), key)
-    rows = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(64)))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % 64)
     w = Window.partitionBy(label, "_b").orderBy("_h", key)
     return rows.withColumn("fold", ((F.row_number().over(w) - 1 + F.col("_b")) % k).cast("int")).drop("_h", "_b")
 
@@ -100,8 +100,8 @@ def combined_selection(df: DataFrame, label: str, features: list[str], k: int) -
     return both.withColumn("score", score).orderBy(F.desc("score"), "feature").limit(k)
 
 
-def neighbours(df: DataFrame, key: str, features: list[str], k: int = 5, band: int = 1024) -> DataFrame:
-    """(key, near): the k nearest other rows of each row by Euclidean distance, nearest first, ties by key; near holds their features.
+def neighbours(df: DataFrame, key: str, features: list[str], k: int = 5, band: int = 1024, names: bool = False) -> DataFrame:
+    """(key, near): the k nearest other rows of each row by Euclidean distance, nearest first, ties by key; near holds their features, or with ``names`` their keys.
 
     A line through the feature space is cut into bands of about ``band`` rows.  A distance along it is never above the distance
     in space, so the k-th distance within a row's own band tells which other bands can hold a nearer row; these are searched too.
@@ -155,7 +155,7 @@ def neighbours(df: DataFrame, key: str, features: list[str], k: int = 5, band: i
     asks = asks.select(F.col("key").alias("asks_key"), F.col("x").alias("asks_x"), "to")
     more = asks.groupBy("to").cogroup(rows.groupBy("band")).applyInPandas(across, found)
     both = first.unionByName(more).groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "nx"))), 1, k).alias("near"))
-    return both.select(F.col("key").alias(key), F.transform("near", lambda n: n["nx"]).alias("near"))
+    return both.select(F.col("key").alias(key), F.transform("near", lambda n: n["other"] if names else n["nx"]).alias("near"))
 
 
 def smote(df: DataFrame, label: str, key: str, features: list[str], seed: int = 42, k: int = 5) -> DataFrame:
@@ -177,27 +177,32 @@ def smote(df: DataFrame, label: str, key: str, features: list[str], seed: int =
     draw = lambda what, *also: F.xxhash64(F.lit(seed), F.lit(what), key, *also)
     extra = rows.select(key).orderBy(draw("extra"), key).limit(rest).select(key, F.lit(1).alias("_more"))
     rows = rows.join(extra, key, "left").withColumn("_times", F.lit(times) + F.coalesce("_more", F.lit(0))).where("_times > 0")
-    copies = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    pick = F.get("near", F.pmod(draw("pick", "_i"), F.greatest(F.size("near"), F.lit(1))).cast("int"))
-    copies = copies.withColumns({"_n": pick, "_u": F.pmod(draw("place", "_i"), F.lit(2**53)) / float(2**53)})
+    return own.unionByName(between(rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))), label, key, features, means, stds, seed))
+
+
+def between(rows: DataFrame, label: str, key: str, features: list[str], means: list[float], stds: list[float], seed: int) -> DataFrame:
+    """For each row a point between it and one of ``near``, the number ``_i`` of its key; means and deviations undo the scaling of near."""
+    draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), key, "_i")
+    pick = F.get("near", F.pmod(draw("pick"), F.greatest(F.size("near"), F.lit(1))).cast("int"))
+    copies = rows.withColumns({"_n": pick, "_u": F.pmod(draw("place"), F.lit(2**53)) / float(2**53)})
     made = [(F.col(c) + F.col("_u") * F.coalesce(F.get("_n", F.lit(i)) * s + m - F.col(c), F.lit(0.0))).alias(c) for i, (c, m, s) in enumerate(zip(features, means, stds))]
-    return own.unionByName(copies.select(key, label, *made))
+    return copies.select(key, label, *made)
 
 
 MODELS = {
-    "lr": lambda **a: LogisticRegression(maxIter=50, regParam=0.01, **a),
-    "rf": lambda **a: RandomForestClassifier(numTrees=20, maxDepth=5, seed=42, **a),
-    "gb": lambda **a: GBTClassifier(maxIter=10, maxDepth=3, seed=42, **a),
+    "lr": lambda **a: LogisticRegression(**({"maxIter": 50, "regParam": 0.01} | a)),
+    "rf": lambda **a: RandomForestClassifier(**({"numTrees": 20, "maxDepth": 5, "seed": 42} | a)),
+    "gb": lambda **a: GBTClassifier(**({"maxIter": 10, "maxDepth": 3, "seed": 42} | a)),
 }
 
 
-def pipeline(kind: str, features: list[str], label: str, weight: str | None = None) -> Pipeline:
+def pipeline(kind: str, features: list[str], label: str, weight: str | None = None, params: dict | None = None) -> Pipeline:
     filled = [f"{c}_filled" for c in features]
     stages = [
         Imputer(strategy="median", inputCols=features, outputCols=filled, relativeError=0.0),
         VectorAssembler(inputCols=filled, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
-        MODELS[kind](labelCol=label, featuresCol="features", **({"weightCol": weight} if weight else {})),
+        MODELS[kind](labelCol=label, featuresCol="features", **({"weightCol": weight} if weight else {}), **(params or {})),
     ]
     return Pipeline(stages=stages)
 

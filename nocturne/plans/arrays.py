@@ -143,7 +143,7 @@ def rr_artifacts(spark, sf):
     return rows.select("pid", F.size(F.filter("ok", lambda x: x)).cast("long").alias("n_valid"), r6(100.0 * bad / F.size("ok")).alias("artifact_pct"), A.longest_true(F.col("ok")).cast("long").alias("longest_clean"))
 
 
-@query("peak_thinning")
+@query("peak_thinning", f"WITH RECURSIVE {EV}, n AS (SELECT pid, count(*) AS n, min(t) AS first FROM ev GROUP BY pid), k AS (SELECT pid, first AS t FROM n UNION ALL SELECT k.pid, (SELECT min(e.t) FROM ev e WHERE e.pid = k.pid AND e.t - k.t >= 14400) AS t FROM k WHERE k.t IS NOT NULL) SELECT n.pid, CAST(n AS INTEGER) AS n, CAST(count(k.t) AS INTEGER) AS n_kept FROM n JOIN k ON k.pid = n.pid GROUP BY n.pid, n")
 def peak_thinning(spark, sf):
     """Greedy thinning: whether a peak stays depends on the last one kept, so a fold and not a window."""
     at = F.array_sort(F.collect_list("t"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nocturne.operators import automata, learning
+from nocturne.operators import automata, learning, training
 from nocturne.operators import cohort as C
 from nocturne.plans.base import EV, SC, ev, scored, t
 from nocturne.plans.registry import query
@@ -72,12 +72,20 @@ def mutual_information(spark, sf):
     return learning.mutual_information(t(spark, sf, "lineitem"), "l_returnflag", ["l_quantity"]).withColumn("mi", F.round("mi", 9))
 
 
-@query("combined_selection")
+@query(
+    "combined_selection",
+    """WITH l AS (SELECT l_returnflag AS y, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem),
+p AS (SELECT feature, y, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM l GROUP BY ALL), g AS (SELECT feature, avg(v) AS grand, min(v) AS a, max(v) AS b FROM l GROUP BY 1),
+f AS (SELECT p.feature, (sum(n * (m - grand) * (m - grand)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS f FROM p JOIN g USING (feature) GROUP BY 1),
+j AS (SELECT feature, y, least(floor((v - a) / (b - a) * 10), 9) AS bin, CAST(count(*) AS DOUBLE) AS k FROM l JOIN g USING (feature) GROUP BY ALL),
+s AS (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, bin) AS x, sum(k) OVER (PARTITION BY feature, y) AS y FROM j), i AS (SELECT feature, sum(k / n * ln(k * n / (x * y))) AS mi FROM s GROUP BY 1)
+SELECT feature, round(f / max(f) OVER () / 2 + mi / max(mi) OVER () / 2, 6) AS score FROM f JOIN i USING (feature) ORDER BY 2 DESC, 1 LIMIT 3""",
+)
 def combined_selection(spark, sf):
     return learning.combined_selection(t(spark, sf, "lineitem"), "l_returnflag", FEATURES, 3).select("feature", r6("score").alias("score"))
 
 
-@query("stratified_folds")
+@query("stratified_folds", f"WITH {SC}, h AS (SELECT doc_id, y2, md5('42:' || doc_id) AS h FROM sc), b AS (SELECT *, CAST('0x' || h[1:2] AS INTEGER) % 64 AS b FROM h), f AS (SELECT y2, CAST((row_number() OVER (PARTITION BY y2, b ORDER BY h, doc_id) - 1 + b) % 5 AS INTEGER) AS fold FROM b) SELECT fold, y2, count(*) AS n FROM f GROUP BY ALL")
 def stratified_folds(spark, sf):
     return learning.stratified_folds(scored(spark, sf), "doc_id", "y2").groupBy("fold", "y2").agg(F.count(F.lit(1)).alias("n"))
 
@@ -108,6 +116,91 @@ def smote_balance(spark, sf):
     return out.select("doc_id", "label", r6("a").alias("a"), r6("b").alias("b"), r6("c").alias("c"))
 
 
+NEAR = f"""WITH {SC}, m AS (SELECT doc_id, y2, sqrt(n_chars) AS a, ln(doc_id + 2) AS b, score * age AS c FROM sc JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)),
+z AS (SELECT doc_id, y2, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS c FROM m),
+d AS (SELECT x.doc_id, x.y2, y.doc_id AS o, y.y2 AS yo, row_number() OVER (PARTITION BY x.doc_id ORDER BY pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2), y.doc_id) AS k FROM z x JOIN z y ON x.doc_id <> y.doc_id)"""
+
+
+def spaced(spark, sf):
+    """Rows with features that give no equal distances."""
+    n = t(spark, sf, "documents").select("doc_id", "n_chars")
+    m = scored(spark, sf).join(n, "doc_id")
+    return m.select("doc_id", F.col("y2").cast("double").alias("label"), F.sqrt("n_chars").alias("a"), F.log(F.col("doc_id") + 2).alias("b"), (F.col("score") * F.col("age")).alias("c"))
+
+
+@query("tomek_links", NEAR + " SELECT p.doc_id AS a, p.o AS b FROM d p JOIN d q ON p.o = q.doc_id AND q.o = p.doc_id AND p.k = 1 AND q.k = 1 WHERE p.doc_id < p.o AND p.y2 <> p.yo")
+def tomek_links(spark, sf):
+    """Rows of different classes that are each other's nearest, found in bands; the SQL compares all pairs."""
+    return training.tomek_links(spaced(spark, sf), "doc_id", "label", ["a", "b", "c"])
+
+
+@query("minority_hardness", NEAR + " SELECT doc_id, count(*) FILTER (yo <> y2) AS others FROM d WHERE k <= 5 AND y2 = 1 GROUP BY doc_id")
+def minority_hardness(spark, sf):
+    """How many of a minority row's five nearest are of the other class."""
+    return training.hardness(spaced(spark, sf), "doc_id", "label", ["a", "b", "c"], 1.0)
+
+
+@query("adasyn_balance")
+def adasyn_balance(spark, sf):
+    out = training.adasyn(spaced(spark, sf), "label", "doc_id", ["a", "b", "c"])
+    return out.select("doc_id", "label", r6("a").alias("a"), r6("b").alias("b"), r6("c").alias("c"))
+
+
+@query("smote_tomek")
+def smote_tomek(spark, sf):
+    out = training.smote_tomek(spaced(spark, sf), "label", "doc_id", ["a", "b", "c"])
+    return out.select("doc_id", "label", r6("a").alias("a"), r6("b").alias("b"), r6("c").alias("c"))
+
+
+SHAP = {"a": 0.5, "b": -0.02, "c": 0.001}
+
+
+@query("linear_shap", f"WITH {SC}, m AS (SELECT doc_id, score AS a, age AS b, score * age AS c FROM sc), g AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM m) " + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS feature, round(({c} - m{c}) * {w}, 6) AS shap FROM m, g" for c, w in SHAP.items()))
+def linear_shap(spark, sf):
+    """Contributions of features to a linear score."""
+    return training.linear_shap(cohort_matrix(spark, sf), "doc_id", SHAP).withColumn("shap", r6("shap"))
+
+
+@query("model_choice")
+def model_choice(spark, sf):
+    """Candidates on one holdout, best first."""
+    rows = cohort_matrix(spark, sf)
+    metrics = {"auroc_age": lambda d: training.auroc_within_ages("b")(d.withColumn("b", F.col("b").cast("int"))), "auroc": training.auroc}
+    table, _ = training.choose(rows, "doc_id", "label", ["a", "b", "c"], ["lr", "rf", "gb"], metrics)
+    return spark.createDataFrame([(i + 1, r["model"], r["auroc_age"], r["auroc"]) for i, r in enumerate(table)], "rank int, model string, auroc_age double, auroc double")
+
+
+@query("model_search")
+def model_search(spark, sf):
+    """Settings of a forest by cross-validation."""
+    found = training.search(cohort_matrix(spark, sf), "doc_id", "label", ["a", "b", "c"], "rf", {"maxDepth": [2, 4], "numTrees": [5, 10]}, training.auroc, trials=3, k=2)
+    return spark.createDataFrame([(r["trial"], r["metric"], str(sorted(r["setting"].items()))) for r in found], "trial int, metric double, setting string")
+
+
+@query("stacked_predictions")
+def stacked_predictions(spark, sf):
+    rows = cohort_matrix(spark, sf)
+    stack = training.Stack.fit(rows, "doc_id", "label", ["a", "b", "c"], ["lr", "rf"], k=3)
+    return stack.predict(rows).select("doc_id", r6("p").alias("p"))
+
+
+@query("cohort_predictions")
+def cohort_predictions(spark, sf):
+    """Raw and shifted probabilities; a column that the table lacks is null and imputed."""
+    rows = cohort_matrix(spark, sf)
+    model = learning.pipeline("lr", ["a", "b", "c"], "label").fit(rows)
+    out = training.predict_cohort(model, rows.drop("c"), ["a", "b", "c"], 0.1, 0.05)
+    return out.select("doc_id", r6("p").alias("p"), r6("p_shifted").alias("p_shifted"), "positive")
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    rows = cohort_matrix(spark, sf)
+    model = learning.pipeline("lr", ["a", "b", "c"], "label").fit(rows)
+    out = training.permutation_importance(model, rows, "doc_id", "label", ["a", "b", "c"])
+    return spark.createDataFrame([(r["feature"], r["drop"]) for r in out], "feature string, drop double").withColumn("drop", r6("drop"))
+
+
 @query("prevalence_fold", f"WITH {SC}, n AS (SELECT count(*) FILTER (y2 = 0) AS neg, count(*) FILTER (y2 = 1) AS pos FROM sc) SELECT neg AS n_neg, least(pos, greatest(1, CAST(floor(neg * 0.05e0 / 0.95e0) AS BIGINT))) AS n_pos FROM n")
 def prevalence_fold(spark, sf):
     """Size of a validation fold that has the expected prevalence."""
