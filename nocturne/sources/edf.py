@@ -17,13 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SIGNALS = "record string, channel string, fs double, unit string, n_samples long, duration_sec double, samples array<float>"
 ANNOTATIONS = "record string, onset double, duration double, description string"
-TRIVIAL = ("", "recording starts", "recording ends", "lights off", "lights on")  # fixed values: annotations without content
+# Annotations without content, names of channels that hold annotations as numbers, and the codes of respiratory ones.
+TRIVIAL = ("", "sleep onset", "recording start", "lights off", "lights on", "recording end")
+STAGE_CHANNELS, AROUSAL_CHANNELS, OTHER_CHANNELS = ("stage", "sleep", "hypno"), ("arousal", "arsl"), ("resp", "limb")
+CHANNEL_CODES = {
+    1: "obstructive_apnea", 2: "central_apnea", 3: "mixed_apnea", 4: "obstructive_hypopnea", 5: "central_hypopnea", 6: "mixed_hypopnea", 7: "rera", 8: "apnea_unspecified", 9: "hypopnea_unspecified",
+}
 
 
 def _header(data: bytes) -> dict:
@@ -102,6 +107,61 @@ def channel(recordings: DataFrame, name: str) -> DataFrame:
     return recordings.where(F.lower(F.trim("channel")) == name.lower())
 
 
+def lookup(recordings: DataFrame, names: list[str]) -> DataFrame:
+    """(record, name, fs, n_samples, unit, samples): a row for each record and name, null where the record has no such channel."""
+    wanted = recordings.sparkSession.createDataFrame([(n, n.lower().strip()) for n in names], "name string, _key string")
+    grid = recordings.select("record").distinct().join(F.broadcast(wanted))  # as many rows as names for each record
+    have = recordings.select("record", F.lower(F.trim("channel")).alias("_key"), "fs", "n_samples", "unit", "samples")
+    return grid.join(have, ["record", "_key"], "left").drop("_key")
+
+
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record, size_bytes) of every EDF file below a folder, in order of the record's name; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][dD][fF]").option("recursiveFileLookup", "true").load(path)
+    name = F.concat_ws("/", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    return files.select("path", name.alias("record"), F.col("length").alias("size_bytes")).orderBy("record", "path")
+
+
+def channel_annotations(recordings: DataFrame, epoch: float = 30.0, least: float = 1.0) -> DataFrame:
+    """(record, onset, duration, description) from channels that hold annotations as numbers.
+
+    Stage channels give a stage for each epoch, the most frequent rounded value (the least
+    of equals) named; arousal and limb channels the spans over 0.5; respiratory channels the
+    runs of a known code.  Spans shorter than ``least`` seconds are noise; probability
+    channels are left out.
+    """
+    from nocturne.functions.scalar import stage_of_code
+    from nocturne.operators.windows import runs
+
+    label = F.lower(F.trim("channel"))
+    has = lambda names: F.coalesce(*[F.when(F.contains(label, F.lit(n)), F.lit(True)) for n in names], F.lit(False))
+    kind = F.when(F.contains(label, F.lit("prob")), None).when(has(STAGE_CHANNELS), "stage").when(has(AROUSAL_CHANNELS), "arousal").when(has(OTHER_CHANNELS[:1]), "resp").when(has(OTHER_CHANNELS[1:]), "limb_movement")
+    rows = recordings.select("record", "channel", "fs", "samples", kind.alias("kind")).where("kind is not null and fs > 0")
+    rows = rows.select("record", "channel", "fs", "kind", F.posexplode("samples").alias("pos", "v"))
+    good = F.col("v").isNotNull() & ~F.isnan("v")
+    n = F.floor(F.col("fs") * epoch).cast("int")
+    total = F.max("pos").over(Window.partitionBy("record", "channel"))
+    stage = rows.where("kind = 'stage'").withColumn("_all", total + 1).withColumn("e", F.floor(F.col("pos") / n).cast("int")).where((F.col("e") + 1) * n <= F.col("_all"))
+    votes = stage.groupBy("record", "channel", "e", F.when(good, F.rint("v").cast("int")).alias("code")).agg(F.count(F.lit(1)).alias("k"))
+    best = votes.groupBy("record", "channel", "e").agg(F.max(F.when(F.col("code").isNotNull(), F.struct("k", (-F.col("code")).alias("c")))).alias("b"))
+    out = best.select("record", (F.col("e") * epoch).alias("onset"), F.lit(epoch).alias("duration"), F.coalesce(stage_of_code(-F.col("b.c")), F.lit("Unknown")).alias("description"))
+    code = F.when(F.col("kind") == "resp", F.rint("v").cast("int")).otherwise((F.col("v") > 0.5).cast("int"))
+    spans = rows.where("kind <> 'stage'").withColumn("code", F.coalesce(F.when(good, code), F.lit(0))).withColumn("id", F.concat_ws("|", "record", "channel"))
+    spans = spans.withColumns({"a": F.col("pos") / F.col("fs"), "b": (F.col("pos") + 1) / F.col("fs")})
+    names = spans.select("id", "record", "kind").distinct()
+    found = runs(spans, "id", ["pos"], "code", "a", "b", least).where("code > 0").join(names, "id")
+    word = F.when(F.col("kind") == "resp", F.coalesce(*[F.when(F.col("code") == k, F.lit(v)) for k, v in CHANNEL_CODES.items()])).otherwise(F.col("kind"))
+    found = found.select("record", F.col("start").alias("onset"), (F.col("end") - F.col("start")).alias("duration"), word.alias("description")).where("description is not null")
+    return out.unionByName(found)
+
+
+def annotations_with_fallback(spark: SparkSession, path: str) -> DataFrame:
+    """(record, onset, duration, description, how) of all files: time-stamped lists ("list"), and for records without one what their numeric channels hold ("channel")."""
+    lists = read_edf(spark, path, annotations=True).withColumn("how", F.lit("list"))
+    rest = read_edf(spark, path).join(lists.select("record").distinct(), "record", "left_anti")
+    return lists.unionByName(channel_annotations(rest).withColumn("how", F.lit("channel")))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

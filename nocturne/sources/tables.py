@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,13 +84,115 @@ def write_features(df: DataFrame, path: str, key: str = "patient_id") -> None:
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Chosen columns; those that the table lacks are null.  Files of different width are merged by name."""
-    df = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path).drop("bucket")
+    """Chosen columns; those that the table lacks are null.  Files of different width are merged by name; a broken file is an error (see rescue_features)."""
+    return _chosen(spark.read.option("mergeSchema", True).parquet(path).drop("bucket"), columns)
+
+
+def _chosen(df: DataFrame, columns: list[str] | None) -> DataFrame:
     if columns is None:
         return df
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns])
 
 
+def inspect(spark: SparkSession, path: str, key: str = "patient_id") -> DataFrame:
+    """path, size_bytes, modified, valid, n_rows, columns, ids (10 distinct at most) and kind of every Parquet file below a folder.
+
+    Files are opened where they are read, one at a time; of a broken one only the listing is given.
+    A file with a segment number has segments, one without has patients; else the name tells.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    schema = "path string, size_bytes long, modified timestamp, valid boolean, n_rows long, columns array<string>, ids array<string>, kind string"
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                name = r.path.lower()
+                kind = "segment" if "segment" in name else "patient" if "patient" in name else "unknown"
+                try:
+                    f = pq.ParquetFile(pa.BufferReader(r.content))
+                    columns = f.schema_arrow.names
+                    ids = sorted({str(v) for v in f.read(columns=[key]).column(0).to_pylist() if v is not None})[:10] if key in columns else []
+                    kind = "segment" if "segment_idx" in columns else "patient" if key in columns else kind
+                    rows.append((r.path, r.length, r.modificationTime, True, f.metadata.num_rows, columns, ids, kind))
+                except Exception:  # whatever a broken file raises, the row says that it is not valid
+                    rows.append((r.path, r.length, r.modificationTime, False, None, None, None, kind))
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "modified", "valid", "n_rows", "columns", "ids", "kind"])
+
+    return files.select("path", "length", "modificationTime", "content").mapInPandas(look, schema)
+
+
+def rescue_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, report): all valid Parquet files, and for a broken one the CSV of the same name beside it, if there is one.
+
+    The report has path, valid and used: "parquet", "csv" or "none".  Files of no bytes are not listed.
+    """
+    found = inspect(spark, path).select("path", "valid").collect()  # a row for each file
+    good, broken = [r.path for r in found if r.valid], [r.path for r in found if not r.valid]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def there(p: str) -> bool:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        return where.getFileSystem(conf).exists(where)
+
+    beside = {p: p[: -len(".parquet")] + ".csv" for p in broken}
+    beside = {p: c for p, c in beside.items() if there(c)}
+    out = spark.read.option("mergeSchema", True).parquet(*good).drop("bucket") if good else None
+    if beside:
+        csv = spark.read.option("header", True).option("inferSchema", True).csv(list(beside.values()))
+        if out is not None:
+            csv = csv.select(*[F.col(c).cast(out.schema[c].dataType) if c in out.columns else F.col(c) for c in csv.columns])
+        out = csv if out is None else out.unionByName(csv, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], "patient_id string")
+    report = [(p, True, "parquet") for p in good] + [(p, False, "csv" if p in beside else "none") for p in broken]
+    return _chosen(out, columns), spark.createDataFrame(report, "path string, valid boolean, used string")
+
+
+def with_fallback(wanted: DataFrame, cached: DataFrame, computed: DataFrame, key: str) -> DataFrame:
+    """A row for each wanted key: the cached one, else the one worked out anew, with ``how``; keys with neither are left out."""
+    have = cached.join(wanted.select(key).distinct(), key, "left_semi").withColumn("how", F.lit("cached"))
+    rest = computed.join(wanted.select(key).distinct(), key, "left_semi").join(have.select(key), key, "left_anti").withColumn("how", F.lit("computed"))
+    return have.unionByName(rest, allowMissingColumns=True)
+
+
+def write_manifest(entries: DataFrame, path: str, key: str = "key", at: str = "cached_at") -> DataFrame:
+    """The manifest at ``path`` with ``entries`` in it, the newest entry of each key; a version takes the other's place by a rename.
+
+    Readers see the old manifest or the new one.  Gives the table that was written.
+    """
+    spark = entries.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    rows = entries.unionByName(spark.read.schema(entries.schema).json(path), allowMissingColumns=True) if fs.exists(where) else entries
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.xxhash64(*[c for c in rows.columns]))
+    rows = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}-{uuid.uuid4().hex}") for x in ("new", "old"))
+    rows.write.json(fresh.toString())
+    if fs.exists(where):
+        fs.rename(where, old)
+    if not fs.rename(fresh, where):
+        raise OSError(f"can't put the manifest at {path}")
+    fs.delete(old, True)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header; arrays as JSON."""
+    flat = df.select(*[F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema.fields])
+    flat.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_feature_list(df: DataFrame, path: str) -> None:
+    """A line of text for each column: its name and number of nulls, those with most nulls first."""
+    lines = null_counts(df).orderBy(F.desc("nulls"), "column_name").select(F.format_string("%s\t%d", "column_name", "nulls").alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(path)  # as many lines as columns
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, nulls) of every column, in one pass."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
