@@ -73,6 +73,42 @@ def sleep_bands(x: np.ndarray, fs: float) -> dict[str, float]:
     }
 
 
+_TAPERS: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def tapers(n: int, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """(Slepian sequences of unit energy, a row each, their weights) for a time half-bandwidth product; kept for the next call.
+
+    They are the eigenvectors with the largest eigenvalues of a tridiagonal matrix; a
+    weight is the share of a sequence's energy within the band, and those below 0.9 are left out.
+    """
+    key = (n, half)
+    if key not in _TAPERS:
+        at, w = np.arange(n), half / n
+        side = at[1:] * (n - at[1:]) / 2.0
+        matrix = np.diag(((n - 1) / 2.0 - at) ** 2 * np.cos(2 * np.pi * w)) + np.diag(side, 1) + np.diag(side, -1)
+        rows = np.linalg.eigh(matrix)[1][:, ::-1][:, : max(1, int(2 * half) - 1)].T
+        lag = np.arange(1, n)
+        kernel = np.concatenate(([2 * w], np.sin(2 * np.pi * w * lag) / (np.pi * lag)))
+        share = []
+        for v in rows:
+            auto = np.correlate(v, v, "full")[n - 1 :]
+            share.append(kernel[0] * auto[0] + 2 * (kernel[1:] * auto[1:]).sum())
+        share = np.array(share)
+        keep = share > 0.9 if (share > 0.9).any() else np.arange(len(share)) == 0
+        _TAPERS[key] = rows[keep], share[keep]
+    return _TAPERS[key]
+
+
+def multitaper(x: np.ndarray, fs: float, bandwidth: float) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, one-sided density), the tapers' spectra averaged by their weights, the mean taken off first."""
+    rows, weight = tapers(len(x), bandwidth * len(x) / fs / 2)
+    spectra = np.abs(np.fft.rfft((x - x.mean()) * rows, axis=1)) ** 2 / fs
+    p = (spectra * weight[:, None]).sum(axis=0) / weight.sum()
+    p[1 : (-1 if len(x) % 2 == 0 else None)] *= 2
+    return np.fft.rfftfreq(len(x), 1 / fs), p
+
+
 def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing cut at 4 deviations, the ends mirrored with the edge sample repeated."""
     half = int(4 * sigma + 0.5)

@@ -253,6 +253,30 @@ def coherence(segments: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return both.withColumn("_c", run("l", "r", "fs")).select("patient_id", "segment_idx", "left_ch", "right_ch", "_c.*")
 
 
+def delta_windows(recordings: DataFrame, window: float = 5.0, bandwidth: float = 2.0, band: tuple[float, float] = (0.5, 4.0), limits: tuple[float, float] = (0.5, 200.0)) -> DataFrame:
+    """(patient_id, channel, window_idx, start_sec, power, clean) of each whole window: summed multitaper density of a band, and whether the amplitude is within limits in some channel."""
+    low, high = band
+
+    @F.pandas_udf("array<struct<power double, span double>>")
+    def run(samples: pd.Series, fs: pd.Series) -> pd.Series:
+        out = []
+        for a, rate in zip(samples, fs):
+            size = int(window * rate)
+            x = np.asarray(a, float)
+            parts = x[: len(x) // size * size].reshape(-1, size)
+            rows = []
+            for part in parts:
+                f, p = S.multitaper(part, rate, bandwidth)
+                rows.append({"power": float(p[(f >= low) & (f <= high)].sum()), "span": float(np.ptp(part))})
+            out.append(rows)
+        return pd.Series(out)
+
+    rows = recordings.select("patient_id", "channel", F.posexplode(run("samples", "fs")).alias("window_idx", "w"))
+    rows = rows.select("patient_id", "channel", "window_idx", (F.col("window_idx") * window).alias("start_sec"), "w.*")
+    fine = F.max(F.col("span").between(*limits)).over(Window.partitionBy("patient_id", "window_idx"))
+    return rows.withColumn("clean", fine).drop("span")
+
+
 def delta_entropy(windows: DataFrame, key: str = "patient_id") -> DataFrame:
     """(key, delta_power_entropy): mean over channels of the spectrum entropy of the smoothed delta power of a night.
 

@@ -101,3 +101,29 @@ def prefer(rows: DataFrame, key: str, priority: str) -> DataFrame:
     """Rows with the greatest priority of their key."""
     top = rows.groupBy(key).agg(F.max(priority).alias("_top"))
     return rows.join(top, key).where(F.col(priority) == F.col("_top")).drop("_top")
+
+
+#: Pairs of channels of a usual montage.
+PAIRS = (("F3", "M2"), ("F4", "M1"), ("C3", "M2"), ("C4", "M1"))
+
+
+def rereference(recordings: DataFrame, pairs: tuple[tuple[str, str], ...] = PAIRS) -> DataFrame:
+    """(patient_id, channel, fs, samples): A - B for each pair that a recording has, sample by sample, cut to the shorter.
+
+    A recording with any channel that is referenced already (its name has "-M") is left as it is.
+    """
+    done = recordings.where(F.contains(F.upper("channel"), F.lit("-M"))).select("patient_id").distinct()
+    rows = recordings.join(done, "patient_id", "left_anti")
+    names = recordings.sparkSession.createDataFrame([(a.lower(), b.lower(), f"{a}-{b}") for a, b in pairs], "_a string, _b string, channel string")
+    key = F.lower(F.trim("channel"))
+    a = rows.select("patient_id", "fs", key.alias("_a"), F.col("samples").alias("_x")).join(F.broadcast(names), "_a")
+    both = a.join(rows.select("patient_id", "fs", key.alias("_b"), F.col("samples").alias("_y")), ["patient_id", "fs", "_b"])
+    n = F.least(F.size("_x"), F.size("_y"))
+    diff = F.zip_with(F.slice("_x", 1, n), F.slice("_y", 1, n), lambda x, y: x - y)
+    made = both.select("patient_id", "channel", "fs", diff.alias("samples"))
+    return made.unionByName(recordings.join(done, "patient_id", "left_semi").select("patient_id", "channel", "fs", "samples"))
+
+
+def against_mean(a: Column, b: Column, c: Column) -> Column:
+    """A - (B + C) / 2, sample by sample."""
+    return F.zip_with(a, F.zip_with(b, c, lambda x, y: (x + y) / 2), lambda x, y: x - y)
