@@ -59,7 +59,7 @@ def frames_beside(spark, sf):
     return X.beside([s.select("s_suppkey", "s_nationkey"), s.select("s_suppkey", F.round("s_acctbal", 2).alias("s_acctbal")), b], ["s_suppkey"])
 
 
-@query("stage_defaults", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'N2' ELSE 'Unknown' END AS ann_dominant_stage, CASE WHEN s_suppkey % 3 = 0 THEN 0.5 ELSE 0 END AS ann_stage_stability, 0 AS ann_is_rem FROM supplier")
+@query("stage_defaults", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'N2' ELSE 'Unknown' END AS ann_dominant_stage, CASE WHEN s_suppkey % 3 = 0 THEN 0.5e0 ELSE 0e0 END AS ann_stage_stability, 0 AS ann_is_rem FROM supplier")
 def stage_defaults(spark, sf):
     """Annotation columns, defaults where a segment has none."""
     s = t(spark, sf, "supplier").select("s_suppkey")
