@@ -11,26 +11,33 @@ from pyspark.sql import functions as F
 
 
 RANGES = 64
+FEW = 100_000  # distinct values that one task may rank, and that may be broadcast
 
 
-def running(df: DataFrame, value: str, sums: dict[str, str], down: bool = False) -> DataFrame:
-    """``df`` (a row for each distinct ``value``) with the running totals of columns before each row, in order of ``value``.
+def running(df: DataFrame, value: str, sums: dict[str, str], down: bool = False, groups: list[str] = ()) -> DataFrame:
+    """``df`` (a row for each distinct ``value`` of each group) with the running totals of columns before each row, in order of ``value``.
 
     ``sums`` maps new names to columns.  The values are cut into RANGES ranges at
-    approximate quantiles; a window runs within a range, and a range's total is carried
-    over the table of ranges, so no task holds all values.
+    approximate quantiles of all of them; a window runs within a group's range, and a range's
+    total is carried over the table of ranges, so no task holds all values.  Up to FEW rows
+    are one range.
     """
+    g = list(groups)
     kind = df.schema[value].dataType.typeName()
-    cuts = df.select(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000)).first()[0] if kind in ("double", "float", "integer", "long", "short", "byte") or kind.startswith("decimal") else []
-    at = sum(((F.col(value) > F.lit(x)).cast("int") for x in sorted(set(cuts or []))), F.lit(0))
-    rows = df.withColumn("_range", at)
-    total = rows.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    order = Window.orderBy(F.desc("_range") if down else "_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("_range", *[F.coalesce(F.sum(f"_{n}").over(order), F.lit(0)).alias(f"_{n}") for n in sums])
-    within = Window.partitionBy("_range").orderBy(F.desc(value) if down else value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
-    rows = rows.join(F.broadcast(base), "_range")  # a row for each range
-    return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+    numeric = kind in ("double", "float", "integer", "long", "short", "byte") or kind.startswith("decimal")
+    q = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000) if numeric else F.lit(None)
+    n, cuts = df.select(F.count(F.lit(1)), q).first()
+    cuts = sorted(set(cuts or [])) if n > FEW else []
+    rows = df.withColumn("_range", sum(((F.col(value) > F.lit(x)).cast("int") for x in cuts), F.lit(0)))
+    within = Window.partitionBy(*g, "_range").orderBy(F.desc(value) if down else value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({c: F.coalesce(F.sum(x).over(within), F.lit(0)) for c, x in sums.items()})
+    if not cuts:
+        return rows.drop("_range")
+    total = rows.groupBy(*g, "_range").agg(*[F.sum(x).alias(f"_{c}") for c, x in sums.items()])
+    order = Window.partitionBy(*g).orderBy(F.desc("_range") if down else "_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = total.select(*g, "_range", *[F.coalesce(F.sum(f"_{c}").over(order), F.lit(0)).alias(f"_{c}") for c in sums])
+    rows = rows.join(base if g else F.broadcast(base), [*g, "_range"])  # without groups a row for each range
+    return rows.withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums}).drop("_range", *[f"_{c}" for c in sums])
 
 
 def summary(c: str, prefix: str = "") -> list[Column]:
@@ -139,11 +146,7 @@ def auroc(df: DataFrame, y: str, score: str, groups: list[str] = ()) -> DataFram
     """
     g = list(groups)
     v = df.groupBy(*g, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    if g:
-        below = F.coalesce(F.sum("_n").over(Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        v = v.withColumn("_below", below)
-    else:
-        v = running(v, score, {"_below": "_n"})
+    v = running(v, score, {"_below": "_n"}, groups=g)
     v = v.withColumn("_wins", F.col("_p") * (F.col("_below") + F.col("_n") / 2.0))
     out = v.groupBy(*g).agg(F.try_divide(F.sum("_wins"), F.sum("_p").cast("double") * F.sum("_n")).alias("auroc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     return out
@@ -209,10 +212,14 @@ def calibration(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
     return out.withColumn("gap", F.abs(F.col("confidence") - F.col("rate")))
 
 
-def with_mid_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``df`` with the mid-rank of ``value``, from counts by distinct value joined back."""
-    v = running(df.groupBy(value).agg(F.count(F.lit(1)).alias("_k")), value, {"_before": "_k"})
-    return df.join(v.select(value, (F.col("_before") + (F.col("_k") + 1) / 2.0).alias(name)), value)
+def with_mid_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with the mid-rank of each column of ``names`` (name: column), from counts by distinct value joined back."""
+    out = df
+    for name, value in names.items():
+        counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_k"))
+        v = running(counts, value, {"_before": "_k"}).select(value, (F.col("_before") + (F.col("_k") + 1) / 2.0).alias(name))
+        out = out.join(F.broadcast(v) if counts.count() <= FEW else v, value)
+    return out
 
 
 def rank_tests(df: DataFrame, group: str, value: str) -> DataFrame:

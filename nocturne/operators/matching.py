@@ -65,10 +65,10 @@ def score_files(subjects: DataFrame, files: DataFrame, key: str) -> DataFrame:
     lengths = [r[0] for r in who.select(F.char_length("name")).distinct().collect() if r[0]]  # as many as names have lengths
     text = F.lower(cache_key(F.col("path")))
     near = files.select("fid", "mtime", "size", "ids", text.alias("text"), F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.lower(cache_key(x))).alias("held"))
-    sources = F.explode(F.array_append(F.col("held"), F.col("text")))
-    cut = near.select("fid", sources.alias("source")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")))
-    cut = cut.where("char_length(source) >= n").select("fid", "n", "source", F.explode(F.sequence(F.lit(1), F.char_length("source") - F.col("n") + 1)).alias("at"))
-    pieces = cut.select("fid", F.substring("source", F.col("at"), F.col("n")).alias("name")).distinct()
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")
+    cut = lambda s, n: F.when(F.char_length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))).otherwise(F.array().cast("array<string>"))
+    parts = F.flatten(F.transform(F.array_append("held", F.col("text")), lambda s: F.flatten(F.transform(sizes, lambda n: cut(s, n)))))
+    pieces = near.select("fid", F.explode(F.array_distinct(parts)).alias("name"))  # distinct within the file, so without a shuffle
     pairs = pieces.join(who, "name").join(near.drop("held"), "fid")
     inside = {"pid": F.col("pid"), "safe_pid": F.col("pid"), "record": F.col("record"), "safe_record": F.col("record"), "bids": F.col("bids"), "site": F.col("site"), "ses": F.concat(F.lit("ses-"), "session"), "session": F.col("session")}
     own = lambda c: (F.length(c) > 0) & (F.contains("text", F.lower(cache_key(c))) | F.contains("text", F.lower(c)))

@@ -6,7 +6,7 @@ import math
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.operators import cohort as C
@@ -92,8 +92,7 @@ def pairwise_mann_whitney(df: DataFrame, group: str, value: str, groups: list) -
     v = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_k"))
     rows = v.join(F.broadcast(table), group)
     at = rows.groupBy("pair", "a", "b", value).agg(F.sum(F.when(F.col(group) == F.col("a"), F.col("_k")).otherwise(0)).alias("ka"), F.sum("_k").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("pair").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = at.withColumn("mid", before + (F.col("t") + 1) / 2.0)
+    at = C.running(at, value, {"before": "t"}, groups=["pair", "a", "b"]).withColumn("mid", F.col("before") + (F.col("t") + 1) / 2.0)
     g = at.groupBy("pair", "a", "b").agg(F.sum("ka").cast("double").alias("n1"), F.sum(F.col("t") - F.col("ka")).cast("double").alias("n2"), F.sum(F.col("ka") * F.col("mid")).alias("r1"), F.sum(F.expr("cast(t as double) * t * t - t")).alias("t"))
     g = g.where("n1 > 0 and n2 > 0").withColumn("u", F.expr("r1 - n1 * (n1 + 1) / 2")).withColumn("s", F.expr("sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1))))"))
     z = F.try_divide(F.expr("greatest(abs(u - n1 * n2 / 2) - 0.5D, 0D)"), F.col("s"))
@@ -108,8 +107,7 @@ def effect_sizes(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     g = long.groupBy("feature").agg(F.avg(one(1)).alias("m1"), F.avg(one(0)).alias("m0"), F.var_samp(one(1)).alias("v1"), F.var_samp(one(0)).alias("v0"), F.count(one(1)).cast("double").alias("n1"), F.count(one(0)).cast("double").alias("n0"))
     d = g.withColumn("d", F.expr("(m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0)"))
     at = long.groupBy("feature", "v").agg(F.count_if(F.col(label) == 1).alias("_p"), F.count(F.lit(1)).alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = at.withColumn("_mid", before + (F.col("_t") + 1) / 2.0)
+    at = C.running(at, "v", {"_before": "_t"}, groups=["feature"]).withColumn("_mid", F.col("_before") + (F.col("_t") + 1) / 2.0)
     r = at.groupBy("feature").agg(F.sum(F.col("_p") * F.col("_mid")).alias("r1"), F.sum(F.expr("cast(_t as double) * _t * _t - _t")).alias("t"))
     out = d.join(r, "feature").withColumn("u", F.expr("r1 - n1 * (n1 + 1) / 2")).withColumn("s", F.expr("sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - t / ((n1 + n0) * (n1 + n0 - 1))))"))
     z = F.try_divide(F.expr("greatest(abs(u - n1 * n0 / 2) - 0.5D, 0D)"), F.col("s"))
@@ -119,8 +117,7 @@ def effect_sizes(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """(a, b, rho) for each pair of features, rows with a null in any of them left out."""
     rows = df.select(*features).dropna()
-    for c in features:
-        rows = C.with_mid_rank(rows, c, f"_r_{c}")
+    rows = C.with_mid_ranks(rows, {f"_r_{c}": c for c in features})
     pairs = list(combinations(features, 2))
     one = rows.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("rho")) for i, (a, b) in enumerate(pairs)])

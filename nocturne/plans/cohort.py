@@ -288,8 +288,7 @@ def histogram(spark, sf):
 def spearman(spark, sf):
     """Rank correlations; ranks come from counts by distinct value, joined back."""
     rows = t(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax")
-    for c in rows.columns:
-        rows = C.with_mid_rank(rows, c, f"r_{c}")
+    rows = C.with_mid_ranks(rows, {f"r_{c}": c for c in rows.columns})
     a, b, c = "r_l_quantity", "r_l_discount", "r_l_tax"
     return rows.agg(r6(F.corr(a, b)).alias("q_d"), r6(F.corr(a, c)).alias("q_t"), r6(F.corr(b, c)).alias("d_t"))
 

@@ -171,3 +171,22 @@ def test_settings_and_columns(spark):
     assert tuple(X.distinct_columns(df).first()) == (1, 2)
     assert X.first_present(["x", "Onset"], ["start", "ONSET"]) == "Onset" and X.first_present(["x"], ["y"]) is None
     assert (X.default_k(400, 300), X.default_k(4, 300), X.default_k(10**6, 300), X.default_k(400, 5)) == (60, 10, 75, 5)
+
+
+def test_ranks_by_ranges_are_those_of_one_window(spark, monkeypatch):
+    from nocturne.operators import cohort as C
+    from nocturne.operators import stats
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), float(rng.randint(0, 1)), rng.choice([rng.gauss(0, 1), float(rng.randint(0, 3))]), rng.random()) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "g string, y double, s double, v double")
+
+    def all_():
+        out = [C.auroc(df, "y", "s", g).collect() for g in ([], ["g"])]
+        out += [C.auprc(df, "y", "s").collect(), stats.spearman_matrix(df, ["y", "s", "v"]).collect(), stats.effect_sizes(df, "y", ["s", "v"]).collect()]
+        out += [stats.pairwise_mann_whitney(df, "g", "v", ["a", "b"]).collect(), stats.kruskal_wallis(df, "g", "s").collect(), stats.mann_whitney(df, "g", "s", "a", "b").collect()]
+        return [sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in part) for part in out]
+
+    one = all_()
+    monkeypatch.setattr(C, "FEW", 10)
+    assert all_() == one
