@@ -245,7 +245,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert seen[1] == [i for i in range(len(good) + len(near))] or set(range(60 + 3)) - set(seen[1]) == {11} and 64 in seen[1]
     sets = {i: shingles(texts[i]) for i in seen[1]}
     root = {i: min(j for j in sets if jaccard(sets[i], sets[j]) >= 0.8) for i in sets}  # no chains among these
-    assert seen[2] == sorted(i for i in fps if root[i] == i) and len(seen[2]) < len(seen[1])
+    assert seen[2] == sorted(i for i in sets if root[i] == i) and len(seen[2]) < len(seen[1])
     kept = spark.createDataFrame([r for r in rows[: len(texts)] if r[0] in set(seen[2])], SCHEMA)
     taken = {r.doc_id: r.taken / r["size"] for r in mixing.mix(kept).collect()}
     assert collections.Counter(seen[3]) == +collections.Counter({i: int(v + 0.5) for i, v in taken.items()})
