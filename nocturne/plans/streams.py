@@ -56,4 +56,4 @@ def stream_dedupe(spark, sf):
 
 @query("stream_run_length", "WITH c AS (SELECT *, coalesce(CAST(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER), 0) AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM c) SELECT user_id, epoch_us(ts) AS \"at\", CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY ts) AS INTEGER) AS run FROM i")
 def stream_run_length(spark, sf):
-    return S.run_available(S.run_lengths(source(spark, sf), "user_id", "ts", "event_type")).select("user_id", F.unix_micros("ts").alias("at"), "run")
+    return S.run_available(S.run_lengths(source(spark, sf), "user_id", "ts", "event_type")).where("not late").select("user_id", F.unix_micros("ts").alias("at"), "run")

@@ -31,25 +31,33 @@ def dedupe(df: DataFrame, at: str, keys: list[str], late: str) -> DataFrame:
 
 
 def run_lengths(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Stateful run lengths: state is the last value and the length of its run, for each key."""
+    """Stateful run lengths: state is the last value, the length of its run and its time, for each key.
+
+    Rows of a trigger are put in order of time.  A row that comes in a later trigger than one
+    with a later time is marked late, has no run and changes none.
+    """
 
     def step(k, batches, state):
         import pandas as pd
 
-        last, n = state.get if state.exists else (None, 0)
-        for rows in batches:
-            rows = rows.sort_values(at)
-            out = []
-            for v in rows[value]:
-                n = n + 1 if v == last else 1
-                last = v
-                out.append(n)
-            yield pd.DataFrame({key: rows[key].to_numpy(), at: rows[at].to_numpy(), value: rows[value].to_numpy(), "run": out})
-        state.update((last, n))
+        last, n, seen = state.get if state.exists else (None, 0, None)
+        rows = pd.concat(list(batches)).sort_values(at, kind="stable")
+        times = rows[at].astype("datetime64[us]").astype("int64").tolist()
+        out, late = [], []
+        for v, t in zip(rows[value], times):
+            late.append(seen is not None and t < seen)
+            if late[-1]:
+                out.append(None)
+                continue
+            n = n + 1 if v == last else 1
+            last, seen = v, t
+            out.append(n)
+        state.update((last, n, seen))
+        yield pd.DataFrame({key: rows[key].to_numpy(), at: rows[at].to_numpy(), value: rows[value].to_numpy(), "run": pd.array(out, "Int32"), "late": late})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out = f"{key} {kinds[key]}, {at} {kinds[at]}, {value} {kinds[value]}, run int"
-    return df.select(key, at, value).groupBy(key).applyInPandasWithState(step, out, f"last {kinds[value]}, n int", "append", "NoTimeout")
+    out = f"{key} {kinds[key]}, {at} {kinds[at]}, {value} {kinds[value]}, run int, late boolean"
+    return df.select(key, at, value).groupBy(key).applyInPandasWithState(step, out, f"last {kinds[value]}, n int, seen long", "append", "NoTimeout")
 
 
 def shared_folder(spark: SparkSession) -> str:
