@@ -26,8 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths handed out, in order; see forget().
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def mark() -> int:
+    """A place in the order of the paths handed out, for forget()."""
+    return len(_paths)
+
+
+def forget(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove what was written since a mark, but for the table ``keep``; for use once all that is still read is in that table."""
+    own = getattr(keep, "_nocturne_path", None)
+    for path in _paths[since:]:
+        if path != own:
+            _remove(spark, path)
+    _paths[since:] = [own] if own else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
@@ -43,9 +67,7 @@ def discard(df: DataFrame) -> None:
     """Remove a table that materialize() wrote and no later step reads."""
     path = getattr(df, "_nocturne_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str, what: str = "ranks", rest: list[Column] = ()) -> DataFrame:

@@ -261,6 +261,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == seen[3]
+    from nocturne.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    begin = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
+    left = {p.split("-")[0] for p in set(os.listdir(folder)) - begin}
+    assert left <= {"stage", "words", "pairs", ""}, left  # the last stage's input, and what the encoding reads
     assert all(list(r.ids) == lib.encode(texts[r.doc_id]) for r in out)
     clash = df.withColumns({"_row": F.lit(1), "n_words": F.lit(2), "kept": F.lit(True), "_id": F.lit(0)})
     wide = clash
