@@ -34,14 +34,17 @@ FEATURE_GROUPS = {
     "eeg_sleep_markers": "swa_power spindle_power_total spindle_prominence slow_spindle_power fast_spindle_power",
     "eeg_slowing": "theta_alpha_ratio delta_alpha_ratio slowing_ratio dar dtabr",
     "eeg_complexity": "sample_entropy permutation_entropy higuchi_fd dfa_alpha lzc hjorth_complexity",
-    "spindle_detection": "_sp_density _sp_count _sp_amplitude_mean _sp_duration_mean _sp_frequency_mean _sp_rms_mean _sp_slow_density _sp_fast_density _sp_fast_slow_ratio",
-    "slow_oscillation": "_so_density _so_count _so_ptp_amplitude_mean _so_neg_peak_mean _so_pos_peak_mean _so_duration_mean _so_slope_mean _so_frequency_mean",
-    "so_spindle_coupling": "_coup_count _coup_rate _coup_mrl _coup_mean_phase_rad _coup_rayleigh_z _coup_rayleigh_p _coup_pac_mi",
+    "spindle_detection": "_sp_density _sp_count _sp_amplitude_mean _sp_amplitude_std _sp_duration_mean _sp_duration_std _sp_frequency_mean _sp_frequency_std _sp_rms_mean _sp_slow_density _sp_fast_density "
+    "_sp_fast_slow_ratio _sp_symmetry_mean _sp_rel_power_mean _sp_oscillations_mean",
+    "slow_oscillation": "_so_density _so_count _so_ptp_amplitude_mean _so_ptp_amplitude_std _so_neg_peak_mean _so_neg_peak_std _so_pos_peak_mean _so_duration_mean _so_duration_std _so_slope_mean _so_slope_std _so_frequency_mean",
+    "so_spindle_coupling": "_coup_count _coup_rate _coup_mrl _coup_mean_phase_rad _coup_mean_phase_deg _coup_phase_std_rad _coup_rayleigh_z _coup_rayleigh_p _coup_preferred_phase_quadrant _coup_pac_mi",
     "sleep_architecture": "sleep_efficiency tst_min waso_min n3_pct rem_pct sol_min rem_latency_min",
     "sleep_fragmentation": "arousal_index transition_index fragmentation_index stage_stability",
     "respiratory_events": "ahi central_apnea_index obstructive_apnea_index hypopnea_index apnea_burden",
     "demographics": "age sex bmi",
     "temporal_dynamics": "third_diff cycle_trend ctx_trend",
+    "cap_parameters": "cap_CAPR cap_AVGCAPDUR cap_AVGCYCLEDUR cap_NCAPSEQ cap_CAPDUR cap_AVGBPHDUR cap_NRAPH cap_APHDUR cap_AVGAPHDUR cap_NRA1PH cap_NRA2PH cap_NRA3PH cap_A1PHDUR cap_A2PHDUR cap_A3PHDUR cap_SLDUR cap_RAPHSL",
+    "delta_power_entropy": "Delta_Power_Entropy",
 }
 
 
