@@ -54,15 +54,18 @@ def sleep_cycles(segments: DataFrame, key: str, order: str, stage: str, minutes:
     return segments.select(key, order, stage).groupBy(key).applyInPandas(scan, f"{key} {kind}, {CYCLE_SCHEMA}")
 
 
-def sequences(phases: DataFrame, key: str, start: str, end: str, gap: float, guard: Column, least: int, longest: float) -> DataFrame:
+def sequences(phases: DataFrame, key: str, start: str, end: str, gap: float, guard: Column, least: int, longest: float, length: Column | None = None) -> DataFrame:
     """Runs of phases no longer than ``longest``, each within ``gap`` of the one before, that no guard row separates.
 
-    ``guard`` marks rows of ``phases`` that are no phases but break a run.  At least
-    ``least`` phases make a sequence.
+    ``guard`` marks rows of ``phases`` that are no phases but break a run; one at the very
+    start and end of a phase comes before it.  At least ``least`` phases make a sequence.
+    ``length`` is a phase's known length; without one it is end less start, which rounding
+    can put past ``longest``.
     """
     w = Window.partitionBy(key).orderBy(start, end)
-    rows = phases.withColumn("_guard", guard).where(F.col("_guard") | (F.col(end) - F.col(start) <= longest))
-    rows = rows.withColumn("_breaks", F.sum(F.col("_guard").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not _guard")
+    length = F.col(end) - F.col(start) if length is None else length
+    rows = phases.withColumn("_guard", guard).where(F.col("_guard") | (length <= longest))
+    rows = rows.withColumn("_breaks", F.sum(F.col("_guard").cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0))).where("not _guard")
     previous, broken = F.lag(end).over(w), F.lag("_breaks").over(w)
     new = previous.isNull() | (F.col(start) - previous > gap) | (broken != F.col("_breaks"))
     rows = rows.withColumn("_new", new.cast("int")).withColumn("_seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

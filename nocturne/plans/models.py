@@ -30,7 +30,7 @@ SELECT pid, round(min(start_sec), 6) AS start, round(max(end_sec), 6) AS "end",
 )
 def cap_sequences(spark, sf):
     rows = ev(spark, sf).where("event_type in ('view', 'purchase', 'error')")
-    out = automata.sequences(rows, "pid", "start_sec", "end_sec", 86_400.0, F.col("event_type") == "error", 3, 36_000.0)
+    out = automata.sequences(rows, "pid", "start_sec", "end_sec", 86_400.0, F.col("event_type") == "error", 3, 36_000.0, F.col("dur"))
     return out.withColumns({"start": r6("start"), "end": r6("end")})
 
 
