@@ -186,8 +186,9 @@ def smooth_flags(epochs: DataFrame, key: str, at: str, flag: str) -> DataFrame:
 
 def distance_ahead(seconds: DataFrame, key: str, at: str, flag: Column, name: str = "distance") -> DataFrame:
     """Seconds to the next flagged one, itself counted; 0 within, the recording's length if none is ahead."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(0, Window.unboundedFollowing)
-    ahead = F.first(F.when(flag, F.col(at)), ignorenulls=True).over(w)
+    # Backwards, so that the frame only grows; one that shrinks is gone through anew for every row.
+    w = Window.partitionBy(key).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.min(F.when(flag, F.col(at))).over(w)
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     return seconds.withColumn(name, F.when(flag, 0).otherwise(F.coalesce(ahead - F.col(at) + 1, n)).cast("long"))
 
