@@ -47,6 +47,7 @@ from nocturne.llm.textvec import buffer_of, pieces, span_hashes
 MARK = "▁"
 VOCABULARY = 1 << 17
 LONGEST = 32
+PART = 1 << 18  # bytes of text that are encoded at once, which bounds a Python worker's memory
 PENALTY = 10.0
 NORMAL, USER, BYTE = 1, 4, 6  # fixed values: kinds of pieces
 UNIGRAM, MERGES = 1, 2  # fixed values: kinds of models
@@ -373,7 +374,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
         dictionary, own = known.value
         raw, begin = own.decode_table()
         for batch in batches:
-            for piece in pieces(batch, width):
+            for piece in pieces(batch, width, PART):
                 flat, first = _encode(piece.column(width), dictionary, own)
                 view = memoryview(np.ascontiguousarray(flat.astype("<i4")).view(np.uint8))
                 at = first.tolist()
