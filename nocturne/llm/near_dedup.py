@@ -4,10 +4,12 @@ A text is the set of its 64-bit hashes of ``shingle`` words in a row, ASCII lett
 lower case.  Two texts link if their sets' Jaccard similarity is ``least`` or more, and
 linked texts are one component.
 
-Candidates are sets that agree on some band of ROWS minhashes out of BANDS; a pair at
-similarity s is missed by all bands with probability (1 - s**ROWS)**BANDS, which is 3 in
-a million at 0.8 and less above.  Every candidate pair is verified by its exact
-similarity unless its members are linked already; no bucket is cut.
+Candidates are sets whose SimHash fingerprints are linked by the operator of that name
+(groups of equal bit blocks, pivot distances, at most MOST bits apart).  As few pairs at a
+similarity of 0.8 are that close, sets that agree on some band of ROWS minhashes out of
+BANDS are candidates too; a pair at similarity s is missed by all bands with probability
+(1 - s**ROWS)**BANDS, which is 3 in a million at 0.8 and less above.  Every candidate pair
+is verified by its exact similarity unless its members are linked already; no bucket is cut.
 
 Work is on distinct sets, named by a 64-bit hash of the set.  Buckets with the same
 members count once.  A bucket with more than CELL members is dealt into cells, one for
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nocturne.llm import simhash
 from nocturne.llm import textvec as V
 from nocturne.llm.common import materialize
 from nocturne.llm.components import components
 
 ROWS, BANDS = 4, 24
+MOST = 4
 CELL = 512
 _RNG = np.random.default_rng(20_240_611)
 _XOR = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)
@@ -88,7 +92,7 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def banded(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, copy, fp, bands) of every row: the hash of its text, the set's name and its band keys."""
+    """(doc_id, copy, fp, sim, bands) of every row: the hash of its text, the set's name, SimHash fingerprint and band keys."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +102,12 @@ def banded(docs: DataFrame, shingle: int) -> DataFrame:
                 size = np.where(np.diff(offsets) > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(keys))
                 names = pa.array(names_of(flat, offsets).view(np.int64))
-                yield pa.record_batch([piece.column(0), piece.column(2), names, lists], names=["doc_id", "copy", "fp", "bands"])
+                held = np.diff(offsets)
+                sim = pa.array(simhash.majority(V.mix(flat), np.repeat(np.arange(len(held)), held), held).view(np.int64))
+                yield pa.record_batch([piece.column(0), piece.column(2), names, sim, lists], names=["doc_id", "copy", "fp", "sim", "bands"])
 
     slim, kind = _texts(docs)
-    return slim.mapInArrow(kernel, f"doc_id {kind}, copy long, fp long, bands array<long>")
+    return slim.mapInArrow(kernel, f"doc_id {kind}, copy long, fp long, sim long, bands array<long>")
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -136,12 +142,20 @@ def forest(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray
     return root
 
 
+def alike(fps: DataFrame, most: int = MOST) -> DataFrame:
+    """(fp, key) of each set: the same key for sets whose fingerprints (``sim``) are linked at ``most`` bits or fewer."""
+    sims = materialize(fps.select(F.col("sim").alias("fp")).distinct(), "sims")
+    roots = components(simhash.links(sims, most))
+    return fps.join(roots, fps.sim == roots.node, "left").select(fps.fp, F.xxhash64(F.lit("sim"), F.coalesce("root", "sim")).alias("key"))
+
+
 def links(docs: DataFrame, fps: DataFrame, shingle: int, least: float, cell: int = CELL) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as all verified candidates.
 
-    ``fps`` has one row (fp, least, bands) for each distinct set of ``docs``, least.doc_id being an id that has it.
+    ``fps`` has one row (fp, least, sim, bands) for each distinct set of ``docs``, least.doc_id being an id that has it.
     """
-    keyed = fps.select("fp", F.explode("bands").alias("key"))
+    close = materialize(alike(fps.where(F.size("bands") > 0)), "alike")
+    keyed = close.unionByName(fps.select("fp", F.explode("bands").alias("key")))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")).where("n > 1")
     sizes = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     members = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / cell).cast("int"))
@@ -187,7 +201,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     """
     rows = materialize(banded(docs, shingle), "bands")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
-    fps = materialize(rows.groupBy("fp").agg(F.min(first).alias("least"), F.first("bands").alias("bands")), "distinct")
+    fps = materialize(rows.groupBy("fp").agg(F.min(first).alias("least"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "distinct")
     roots = components(links(docs, fps, shingle, least))
     label = fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     # Written, so that the joins are between two shuffles, of which a hot key's can be split.

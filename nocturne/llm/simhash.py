@@ -43,6 +43,18 @@ CELL = 2048
 PIVOTS = 24
 
 
+def majority(hashes: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """uint64 of each row with the bits that over half of its hashes have; ``rows`` rises, a row has ``size`` hashes."""
+    ones = np.zeros((len(size), 64), np.int64)
+    for low in range(0, len(hashes), 1 << 15):
+        part, own = hashes[low : low + (1 << 15)], rows[low : low + (1 << 15)]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    bits = (2 * ones > size[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+
+
 def fingerprints_of(text: pa.Array, shingle: int) -> np.ndarray:
     """uint64 fingerprint of each text."""
     data, offsets = buffer_of(text)
@@ -50,21 +62,14 @@ def fingerprints_of(text: pa.Array, shingle: int) -> np.ndarray:
     flat, _, start, end = joined(w, lower=True)
     counts = w.counts
     size = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
-    n_rows, total = len(counts), int(size.sum())
-    ones = np.zeros((n_rows, 64), np.int64)
+    total = int(size.sum())
+    rows, hashes = np.repeat(np.arange(len(counts)), size), np.zeros(0, np.uint64)
     if total:
-        rows = np.repeat(np.arange(n_rows), size)
         first = np.repeat(w.first[:-1], size) + np.arange(total) - np.repeat(np.cumsum(size) - size, size)
         last = np.minimum(first + shingle, np.repeat(w.first[1:], size)) - 1
         view, digest = memoryview(flat), xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(start[first].tolist(), end[last].tolist())), np.uint64, total)
-        for low in range(0, total, 1 << 15):
-            part, own = hashes[low : low + (1 << 15)], rows[low : low + (1 << 15)]
-            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-    bits = (2 * ones > size[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+    return majority(hashes, rows, size)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -49,7 +49,7 @@ def keep_exact(docs: DataFrame) -> DataFrame:
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """The document with the least id of each group of near copies: candidates by SimHash and by bands, five-word shingles, Jaccard similarity 0.8 or more."""
     first = near_dedup(docs).where("kept").select(F.xxhash64("doc_id", "copy").alias("_key"), F.col("doc_id").alias("_doc"), "copy")
     rows = _packed(docs, docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_copy")).withColumn("_key", F.xxhash64("_id", "_copy"))
     rows = rows.join(first, (rows["_key"] == first["_key"]) & rows["_id"].eqNullSafe(first["_doc"]) & (rows["_copy"] == first["copy"]), "left_semi")
