@@ -12,7 +12,9 @@ is never less than the number of documents that hold the window.
 
 Second pass: windows with an estimate of 2 or more, and no others, are grouped exactly,
 by 96 bits of two independent hashes.  A false estimate costs a row and changes no result, so a sketch that
-a corpus overfills makes the second pass larger and loses nothing.
+a corpus overfills makes the second pass larger and loses nothing.  They are shuffled once: of the
+equal windows among MOST of a task only those of the least doc_id are sent, as the others
+have a smaller one there, so a group has few rows however often its window is found.
 
 The sketch has ROWS * 2**bits counters, ``bits`` following the size of the corpus up to
 MAX_BITS; what is sent to the driver and broadcast is a bit for each counter, 64 MB at
@@ -31,15 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import materialize
 from nocturne.llm.textvec import Words, buffer_of, joined, mix, pieces, window_hashes, window_ok, word_hashes, words_of
 
 ROWS = 2
 MIN_BITS, MAX_BITS, SHARD_BITS = 18, 28, 18
 BYTES_PER_KEY = 80  # of text, for each minimizer
+MOST = 1 << 19  # windows compared at a time before they are sent
 
 
 def _gram(window: int) -> int:
@@ -132,34 +134,83 @@ def _often(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return found
 
 
-def candidates(docs: DataFrame, window: int, bits: int, bitmap) -> DataFrame:
-    """(doc_id, copy, h, g, at): windows estimated repeated; (h, g) is 96 bits of hash."""
+def _ranks(ids: pa.Array, kind: str) -> np.ndarray:
+    """Places of ids in Spark's order, equal for equal ids; all equal where the order of their type isn't known to be the same here."""
+    if len(ids) and (pa.types.is_integer(ids.type) or kind == "string"):
+        return pa.compute.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.zeros(len(ids), np.int64)
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Lists of ``size`` values each, null for none."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(values, pa.int32()), mask=pa.array(size == 0))
+
+
+def candidates(docs: DataFrame, window: int, bits: int, bitmap, most: int = MOST) -> DataFrame:
+    """(doc_id, copy, h, g, at, more): windows estimated repeated, once for each row; (h, g) is 96 bits of hash, ``more`` its other places.
+
+    Some ``most`` windows are compared before they are sent: of equal ones only those of the
+    least doc_id are left open, as the others are known to go; these are in ``more`` of one row, with no g.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "copy", "h", "g", "at", "more"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = bitmap.value
+        ids, copies, held, rows, size = [], [], [], 0, 0
+
+        def put() -> Iterator[pa.RecordBatch]:
+            doc, copy = pa.concat_arrays(ids), pa.concat_arrays(copies)
+            row, h, g, at = (np.concatenate(x) for x in zip(*held))
+            rank = _ranks(doc, kind)[row]
+            order = np.argsort(rank, kind="stable")
+            order = order[np.argsort(h[order], kind="stable")]  # a collision in h cuts a run, and leaves more open
+            one, key, other = row[order], h[order], g[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            known = rank[order] > rank[order[first]]
+            head = ~known & (new | np.concatenate(([True], one[1:] != one[:-1])))
+            # In the order of the input, in which neighbours have most in common.
+            number = np.cumsum(head) - 1
+            own = order[head]
+            place = np.empty(len(own), np.int64)
+            place[np.argsort(own)] = np.arange(len(own))
+            extra = np.flatnonzero(~known & ~head)
+            to = place[number[extra]]
+            extra = at[order[extra[np.argsort(to, kind="stable")]]]
+            own = np.sort(own)
+            mine = pa.array(row[own])
+            more = _lists(extra, np.bincount(to, minlength=len(own)))
+            yield pa.record_batch([doc.take(mine), copy.take(mine), pa.array(h[own].view(np.int64)), pa.array(g[own]), pa.array(at[own]), more], names=names)
+            gone = np.sort(order[known])
+            if len(gone):
+                line, n = np.unique(row[gone], return_counts=True)
+                mine, none = pa.array(line), pa.nulls(len(line), pa.int32())
+                spread = mix(copy.take(mine).to_numpy().view(np.uint64) + line.astype(np.uint64))
+                yield pa.record_batch([doc.take(mine), copy.take(mine), pa.array(spread.view(np.int64)), none, none, _lists(at[gone], n)], names=names)
+
         for batch in batches:
             for piece in pieces(batch, 2):
                 w, hashes, at, keys = windows_of(piece.column(2), window)
-                hit = _often(seen, keys, bits)
-                at = at[hit]
+                row = w.rows()[at]
+                hit = _often(seen, keys, bits) & piece.column(0).is_valid().to_numpy(zero_copy_only=False)[row]
+                at, row = at[hit], row[hit]
                 if not len(at):
                     continue
-                row = w.rows()[at]
                 first = window_hashes(hashes, window)[at]
                 second = window_hashes(word_hashes(w, other=True), window)[at]
-                yield pa.record_batch(
-                    [
-                        piece.column(0).take(pa.array(row)),
-                        piece.column(1).take(pa.array(row)),
-                        pa.array(first.view(np.int64)),
-                        pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array((at - w.first[row]).astype(np.int32)),
-                    ],
-                    names=["doc_id", "copy", "h", "g", "at"],
-                )
+                ids.append(piece.column(0))
+                copies.append(piece.column(1))
+                held.append((row + rows, first, (second >> np.uint64(32)).astype(np.uint32).view(np.int32), (at - w.first[row]).astype(np.int32)))
+                rows += piece.num_rows
+                size += len(at)
+                if size >= most:
+                    yield from put()
+                    ids, copies, held, rows, size = [], [], [], 0, 0
+        if held:
+            yield from put()
 
-    return docs.mapInArrow(kernel, f"doc_id {kind}, copy long, h long, g int, at int")
+    return docs.mapInArrow(kernel, f"doc_id {kind}, copy long, h long, g int, at int, more array<int>")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, texts: bool = False) -> DataFrame:
@@ -170,10 +221,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(4 * max(size, 1) / BYTES_PER_KEY)))))
     bitmap = spark.sparkContext.broadcast(sketch(base.select("text"), window, bits))
     found = candidates(base, window, bits, bitmap)
-    least = found.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    least = materialize(least, "least")  # the join is then between two shuffles, of which a hot window's can be split
-    hits = found.join(least, ["h", "g"]).where("doc_id > least").select("doc_id", "copy", "at")
-    places = hits.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("at"))
+    least = F.min("doc_id").over(Window.partitionBy("h", "g"))
+    hits = found.withColumn("least", least).where(F.col("g").isNull() | (F.col("doc_id") > F.col("least")))
+    places = hits.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("more"))).alias("more"))
+    places = places.select("doc_id", "copy", F.concat("at", "more").alias("at"))
     marked = base.join(places, ["doc_id", "copy"], "left").select("doc_id", "text", "at")
     kind = marked.schema["doc_id"].dataType.simpleString()
 
