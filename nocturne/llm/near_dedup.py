@@ -38,6 +38,7 @@ from nocturne.llm.components import components
 ROWS, BANDS = 4, 24
 MOST = 4
 CELL = 512
+BITS_PER_ID, BITS = 32, (15, 29)
 _RNG = np.random.default_rng(20_240_611)
 _XOR = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -110,17 +111,35 @@ def banded(docs: DataFrame, shingle: int) -> DataFrame:
     return slim.mapInArrow(kernel, f"doc_id {kind}, copy long, fp long, sim long, bands array<long>")
 
 
-def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(fp, shingles) of every row, shingles as bytes of rising uint64."""
+def bitmap_of(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap): a bit is set for the upper ``bits`` bits of each ``id``; 64 MB at most."""
+    bits = int(np.clip(np.ceil(np.log2(BITS_PER_ID * max(ids.count(), 1))), *BITS))
+    slot = F.shiftrightunsigned("id", 64 - bits)
+    shards = ids.groupBy(F.shiftright(slot, 15).alias("shard")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in shards.collect():
+        out[row["shard"] << 12 : (row["shard"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+    return bits, out
+
+
+def sets(docs: DataFrame, shingle: int, bits: int, bitmap) -> DataFrame:
+    """(fp, shingles) of the rows whose hash of id and text is in the bitmap, shingles as bytes of rising uint64.
+
+    The texts aren't shuffled for this; a row that is in it by chance gives a set too.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bitmap.value
         for batch in batches:
-            for piece in V.pieces(batch, 1):
-                flat, offsets = shingles_of(piece.column(1), shingle)
+            slot = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            mine = (seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            for piece in V.pieces(batch.filter(pa.array(mine)), 0):
+                flat, offsets = shingles_of(piece.column(0), shingle)
                 raw = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.record_batch([pa.array(names_of(flat, offsets).view(np.int64)), pa.array(raw, pa.binary())], names=["fp", "shingles"])
 
-    return _texts(docs)[0].mapInArrow(kernel, "fp long, shingles binary")
+    slim = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("id"))
+    return slim.mapInArrow(kernel, "fp long, shingles binary")
 
 
 def forest(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
@@ -152,7 +171,7 @@ def alike(fps: DataFrame, most: int = MOST) -> DataFrame:
 def links(docs: DataFrame, fps: DataFrame, shingle: int, least: float, cell: int = CELL) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as all verified candidates.
 
-    ``fps`` has one row (fp, least, sim, bands) for each distinct set of ``docs``, least.doc_id being an id that has it.
+    ``fps`` has one row (fp, least, sim, bands) for each distinct set of ``docs``, least.doc_id and least.copy being of a row that has it.
     """
     close = materialize(alike(fps.where(F.size("bands") > 0)), "alike")
     keyed = close.unionByName(fps.select("fp", F.explode("bands").alias("key")))
@@ -162,8 +181,9 @@ def links(docs: DataFrame, fps: DataFrame, shingle: int, least: float, cell: int
     members = members.withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int"))
     members = materialize(members.select("fp", "key", "parts", "own"), "members")
     wanted = members.select("fp").distinct()
-    ids = fps.join(wanted, "fp", "left_semi").select(F.col("least.doc_id").alias("_least")).distinct()
-    found = sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["_least"]), "left_semi"), shingle)
+    ids = materialize(fps.join(wanted, "fp", "left_semi").select(F.xxhash64("least.doc_id", "least.copy").alias("id")), "wanted")
+    bits, bitmap = bitmap_of(ids)
+    found = sets(docs, shingle, bits, docs.sparkSession.sparkContext.broadcast(bitmap))
     found = found.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     dealt = members.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("byte")

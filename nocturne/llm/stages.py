@@ -27,11 +27,6 @@ def _packed(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.xxhash64(*plain).alias("_hash"), *columns)
 
 
-def _one_each(rows: DataFrame, other: str) -> DataFrame:
-    """One row of those with equal ``_key``, ``_id`` and ``other``, by the least hash of the row: the same in every run."""
-    return rows.groupBy("_key", "_id", other).agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
-
-
 def keep_quality(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep."""
     judged = judge(_packed(docs, docs["text"].alias("text")), keep=("_row",))
@@ -50,10 +45,11 @@ def keep_exact(docs: DataFrame) -> DataFrame:
 
 def keep_near(docs: DataFrame) -> DataFrame:
     """The document with the least id of each group of near copies: candidates by SimHash and by bands, five-word shingles, Jaccard similarity 0.8 or more."""
-    first = near_dedup(docs).where("kept").select(F.xxhash64("doc_id", "copy").alias("_key"), F.col("doc_id").alias("_doc"), "copy")
-    rows = _packed(docs, docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_copy")).withColumn("_key", F.xxhash64("_id", "_copy"))
-    rows = rows.join(first, (rows["_key"] == first["_key"]) & rows["_id"].eqNullSafe(first["_doc"]) & (rows["_copy"] == first["copy"]), "left_semi")
-    return _one_each(rows, "_copy")
+    first = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.lit(True).alias("_kept"))
+    rows = _packed(docs, docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_copy"))
+    # Grouped together and not joined, so that the texts are shuffled once; of equal rows that with the least hash stays, the same in every run.
+    both = rows.unionByName(first, allowMissingColumns=True).groupBy("_id", "_copy").agg(F.min_by("_row", "_hash").alias("_row"), F.max("_kept").alias("_kept"))
+    return both.where("_kept").select("_row.*")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
